@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumencase.operators import hierarchy
+from lumencase.operators import hierarchy, nested_records
 from lumencase.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return nested_records.vic_children(table(spark, root, "vic_raw"))
+
+
+def p1_media(spark: SparkSession, root: str) -> DataFrame:
+    return nested_records.vic_media(table(spark, root, "vic_raw"))
+
+
+def p1_sharing(spark: SparkSession, root: str) -> DataFrame:
+    return nested_records.sharing_report(table(spark, root, "vic_raw"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, root, "files"))
 
@@ -20,5 +32,5 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.descendants(table(spark, root, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_holdings, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p6_found, p6_holdings, p6_descendants)}
 SQL: dict[str, str] = {}
