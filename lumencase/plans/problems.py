@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumencase.operators import hierarchy, nested_records
+from lumencase.operators import hierarchy, nested_records, timestamps
 from lumencase.tables import table
 
 
@@ -20,6 +20,19 @@ def p1_sharing(spark: SparkSession, root: str) -> DataFrame:
     return nested_records.sharing_report(table(spark, root, "vic_raw"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_readings(spark, root).where("status = 'settled'").select("raw_id", "case_seq", "media_seq", "file_seq", "field", "utc_us")
+
+
+def p4_readings(spark: SparkSession, root: str) -> DataFrame:
+    return timestamps.instants(table(spark, root, "vic_raw"), table(spark, root, "vic_exports"))
+
+
+def p4_format_mixtures(spark: SparkSession, root: str) -> DataFrame:
+    exports = table(spark, root, "vic_exports")
+    return timestamps.format_mixtures(timestamps.interpretations(table(spark, root, "vic_raw"), exports), exports)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, root, "files"))
 
@@ -32,5 +45,5 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.descendants(table(spark, root, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p6_found, p6_holdings, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p4_found, p4_readings, p4_format_mixtures, p6_found, p6_holdings, p6_descendants)}
 SQL: dict[str, str] = {}
