@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumencase.operators import hierarchy, nested_records, timestamps
+from lumencase.operators import hierarchy, nested_records, places, timestamps
 from lumencase.tables import table
 
 
@@ -20,6 +21,19 @@ def p1_sharing(spark: SparkSession, root: str) -> DataFrame:
     return nested_records.sharing_report(table(spark, root, "vic_raw"))
 
 
+def p3_near(spark: SparkSession, root: str) -> DataFrame:
+    return places.near(places.locations(table(spark, root, "files")))
+
+
+def p3_inside(spark: SparkSession, root: str) -> DataFrame:
+    return places.inside(places.locations(table(spark, root, "files")), table(spark, root, "areas"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    near = p3_near(spark, root).select(F.lit("near").alias("rel"), "id_a", "id_b")
+    return near.unionByName(p3_inside(spark, root).select(F.lit("inside").alias("rel"), F.col("id").alias("id_a"), F.col("area_id").alias("id_b")))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_readings(spark, root).where("status = 'settled'").select("raw_id", "case_seq", "media_seq", "file_seq", "field", "utc_us")
 
@@ -45,5 +59,10 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.descendants(table(spark, root, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p4_found, p4_readings, p4_format_mixtures, p6_found, p6_holdings, p6_descendants)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p3_found, p3_near, p3_inside, p4_found, p4_readings, p4_format_mixtures, p6_found, p6_holdings, p6_descendants)}
+SQL: dict[str, str] = {
+    "p3_near": """
+WITH p AS (SELECT id, gps_lat AS lat, gps_lon AS lon FROM files WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT (gps_lat = 0 AND gps_lon = 0))
+SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.id < b.id AND abs(a.lat - b.lat) < 0.001
+WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30""",
+}
