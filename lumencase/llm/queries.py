@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencase.llm import groups, seen
+from lumencase.llm import groups, seen, vectors
 from lumencase.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.similar_pairs(table(spark, root, "faces"))
+
+
+def p2_recall(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.recall_report(table(spark, root, "faces"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return groups.match_groups(table(spark, root, "files"), table(spark, root, "phash_pairs"))
 
@@ -26,7 +34,7 @@ def p7_error_rate(spark: SparkSession, root: str) -> DataFrame:
     return seen.error_report(table(spark, root, "files"), _known_md5(spark, root), seen.md5_key("md5"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_error_rate)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p5_found, p7_found, p7_error_rate)}
 SQL = {
     "p5_found": """
 WITH RECURSIVE own AS (
