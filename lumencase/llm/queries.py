@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencase.llm import groups, seen, vectors
+from lumencase.llm import groups, leakage, seen, vectors
 from lumencase.tables import table
 
 
@@ -34,7 +34,19 @@ def p7_error_rate(spark: SparkSession, root: str) -> DataFrame:
     return seen.error_report(table(spark, root, "files"), _known_md5(spark, root), seen.md5_key("md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p5_found, p7_found, p7_error_rate)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leak_report(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_items(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.item_report(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p5_found, p7_found, p7_error_rate, p8_found, p8_leaks, p8_items)}
 SQL = {
     "p5_found": """
 WITH RECURSIVE own AS (
