@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencase.llm import groups, leakage, seen, vectors
+from lumencase.llm import groups, leakage, mixing, seen, subjects, vectors
 from lumencase.tables import table
 
 
@@ -46,7 +46,27 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.item_report(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p5_found, p7_found, p7_error_rate, p8_found, p8_leaks, p8_items)}
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))["rows"]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))["shares"]
+
+
+def _corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, root, "documents"), table(spark, root, "subject_examples"), table(spark, root, "subject_areas")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.document_subjects(*_corpus(spark, root)).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.composition(*_corpus(spark, root))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p5_found, p7_found, p7_error_rate, p8_found, p8_leaks, p8_items, p9_mixture, p9_shares, p10_found, p10_composition)}
 SQL = {
     "p5_found": """
 WITH RECURSIVE own AS (
