@@ -30,8 +30,11 @@ from lumencase.staging import cut, release
 
 #: Sentences on a subject that put a document in it; rounds of propagation.
 MIN_SENTENCES, ROUNDS = 3, 4
+#: Terms that a line must have to be a sentence at all (a log line has fewer); two of them must be verified.
+MIN_TERMS = 4
 #: Documents' worth of base rate mixed into a term's share; the least share that verifies a term; lead over the second subject.
-SHRINK, PURE, LEAD = 4.0, 0.5, 1.5
+#: and the share of a sentence's terms that must be verified for its subject.
+SHRINK, PURE, LEAD, COVER = 4.0, 0.5, 1.5, 0.2
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"'»”*)\]]*\s+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\S*\d\S*")
@@ -59,21 +62,17 @@ def sentences(text: str) -> list[str]:
 
 def sentence_type(sentence: str) -> tuple[str, list[str]]:
     """(the type's text, its terms): lower case, numbers and inner names masked, the first word left out."""
-    words = []
+    masked, plain = [], []
     for i, w in enumerate(_TOKEN.findall(sentence.replace("*", ""))):
-        if any(c.isdigit() for c in w):
-            w = NUMBER
-        elif i and w[0].isupper() and not w.isupper():
-            w = NAME
-        else:
-            w = w.lower()
-        if not (words and w == words[-1] and w in (NAME, NUMBER)):
-            words.append(w)
-    words = words[1:]
-    real = [w for w in words if w not in (NAME, NUMBER)]
-    terms = {w for w in real if len(w) > 3}
-    terms.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a not in (NAME, NUMBER) and b not in (NAME, NUMBER))
-    return " ".join(words), sorted(terms)
+        if not i:
+            continue
+        mask = NUMBER if any(c.isdigit() for c in w) else NAME if w[0].isupper() and not w.isupper() else w.lower()
+        if not (masked and mask == masked[-1] and mask in (NAME, NUMBER)):
+            masked.append(mask)
+        plain.append(NUMBER if mask == NUMBER else w.lower())
+    terms = {w for w in plain if len(w) > 3}
+    terms.update(f"{a} {b}" for a, b in zip(plain, plain[1:], strict=False) if NUMBER not in (a, b))
+    return " ".join(masked), sorted(terms)
 
 
 def _number(text: str) -> int:
@@ -146,10 +145,10 @@ def sentence_labels(documents: DataFrame, examples: DataFrame, areas: DataFrame,
         verified = shares.select("term", (mass / F.col("df")).alias("told"), *[x.alias(d) for x, d in zip(shrunk, share, strict=True)])
         best = F.greatest(*share) if len(share) > 1 else F.col(share[0])
         verified = verified.where((best >= PURE) & (F.col("told") >= 0.3))
-        votes = terms.join(verified, "term").groupBy("kind").agg(*[F.sum(F.greatest(F.log(F.col(d) / F.lit(b)), F.lit(0.0))).alias(d) for d, b in zip(share, base, strict=True)])
+        votes = terms.join(verified, "term", "left").groupBy("kind").agg((F.count("told") / F.count("*")).alias("cover"), F.count("*").alias("terms"), F.count("told").alias("verified"), *[F.sum(F.coalesce(F.greatest(F.log(F.col(d) / F.lit(b)), F.lit(0.0)), F.lit(0.0))).alias(d) for d, b in zip(share, base, strict=True)])
         ranked = F.array_sort(F.array(*[F.struct((-F.col(d)).alias("v"), F.lit(i).alias("s")) for i, d in enumerate(share)]))
         second = F.coalesce(F.try_element_at(F.col("r"), F.lit(2))["v"], F.lit(0.0))
-        won = votes.select("kind", ranked.alias("r")).where((F.col("r")[0]["v"] < 0) & (F.col("r")[0]["v"] * (1 / LEAD) <= second)).select("kind", F.col("r")[0]["s"].alias("s"))
+        won = votes.where((F.col("cover") >= COVER) & (F.col("terms") >= MIN_TERMS) & (F.col("verified") >= 2)).select("kind", ranked.alias("r")).where((F.col("r")[0]["v"] < 0) & (F.col("r")[0]["v"] * (1 / LEAD) <= second)).select("kind", F.col("r")[0]["s"].alias("s"))
         after = cut(won.join(clamped, "kind", "left_anti").unionByName(clamped))
         release(types, before)
         labels = before = after
