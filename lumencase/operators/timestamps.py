@@ -34,7 +34,7 @@ from lumencase.staging import cut, small_enough
 COUNT_YEARS, FIRST_YEAR = (1990, 2035), 1980
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: A posterior under this is an ambiguity, not a choice.
-CERTAIN = 0.99
+CERTAIN = 0.95
 
 _EPOCH = datetime(1970, 1, 1)
 _US = timedelta(microseconds=1)
