@@ -32,7 +32,9 @@ from lumencase.staging import cut, small_enough
 #: Vectors the centroids are fitted on at most; indexed vectors a shard has at most (about); other cells a vector asks.
 SAMPLE_ROWS, SHARD_ROWS, CELL_ROWS, PROBES = 8192, 24_576, 12_288, 2
 #: Neighbours a vector keeps on the ground level and above; candidates while building and while searching.
-GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 24
+GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 20
+#: Neighbours a search returns beyond k; the vectors they are found for gain candidates the other way.
+SPARE = 6
 #: An upper level of so many vectors at most is compared whole.
 FLAT = 8192
 #: The step after which a search gives up that has met nothing within FLOOR_GAP of the similarity asked for.
@@ -162,24 +164,21 @@ class SmallWorld:
         ids = np.full((m, ef), -1, dtype=np.int32)
         sims = np.full((m, ef), -np.inf, dtype=np.float32)
         opened = np.zeros((m, ef), dtype=bool)
-        seen = np.zeros((m, n + 1), dtype=bool)
-        seen[:, n] = True  # where missing neighbours point
+        # 0 where a vector has not been met; else 1 + the place at which it was, so that of twins in a step one counts
+        seen = np.zeros((m, n + 1), dtype=np.int8)
+        seen[:, n] = 127  # where missing neighbours point
         rows = np.arange(m)
         fresh, who, step = np.where(entry >= 0, entry, n), rows, 0
         while len(who):
-            # candidates not seen before, each once
-            new = ~seen[who[:, None], fresh]
-            seen[who[:, None], fresh] = True
-            s = np.full(fresh.shape, -np.inf, dtype=np.float32)
+            place = np.arange(1, fresh.shape[1] + 1, dtype=np.int8)[None, :]
+            new = seen[who[:, None], fresh] == 0
             r, c = np.nonzero(new)
+            seen[who[r], fresh[r, c]] = place[0, c]
+            last = seen[who[r], fresh[r, c]] == place[0, c]
+            r, c = r[last], c[last]
+            s = np.full(fresh.shape, -np.inf, dtype=np.float32)
             if len(r):
                 s[r, c] = np.einsum("nd,nd->n", x[fresh[r, c]], q[who[r]])
-                # one candidate that two opened neighbours share counts once
-                o = np.argsort(fresh, axis=1, kind="stable")
-                f = np.take_along_axis(fresh, o, axis=1)
-                twin = np.zeros(f.shape, dtype=bool)
-                twin[:, 1:] = f[:, 1:] == f[:, :-1]
-                np.put_along_axis(s, o, np.where(twin, -np.inf, np.take_along_axis(s, o, axis=1)), axis=1)
             all_s = np.hstack([sims[who], s])
             all_i = np.hstack([ids[who], fresh.astype(np.int32)])
             all_o = np.hstack([opened[who], np.zeros(s.shape, dtype=bool)])
@@ -252,6 +251,8 @@ def centroids(vectors: DataFrame, cells: int, size: int, sample_rows: int = SAMP
     """``cells`` unit centroids by spherical k-means over a bounded sample: the vectors with the smallest id hashes."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()
     x = _matrix(sample["v"], size)
+    if not len(x):
+        return np.zeros((1, size), dtype=np.float32)
     c = x[:: max(1, len(x) // cells)][:cells].copy()
     for _ in range(rounds):
         home = np.argmax(x @ c.T, axis=1)
@@ -291,9 +292,7 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     # copies of a direction: only the smallest id is indexed, the others come back at the end
     keyed = unit.select("id", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
     copies = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    n_copies, total = copies.count(), unit.count()
-    if total < 2:
-        return unit.select("id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    n_copies, total = copies.count(), rows.count()  # the number of rows bounds that of usable vectors and costs no pass over them
     members = keyed.join(F.broadcast(copies) if small_enough(n_copies, 40) else copies, ["k1", "k2"]).select("id", "rep").distinct()
     members = cut(members) if n_copies else None
     # a repeated row of one id is a copy of itself: the id stays once
@@ -327,7 +326,7 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
             graph = SmallWorld(x[pos])
             for at in range(0, len(x), 4096):
                 part = slice(at, at + 4096)
-                near, sims = graph.search(x[part], k + 1, floor=min_similarity - FLOOR_GAP if min_similarity > 0 else None)
+                near, sims = graph.search(x[part], k + SPARE, floor=min_similarity - FLOOR_GAP if min_similarity > 0 else None)
                 r, s = np.nonzero((near >= 0) & (sims >= min_similarity - 1e-4))
                 found = pos[near[r, s]]
                 keep = ids[at + r] != ids[found]
@@ -339,7 +338,9 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
         return pa.table({"id": pa.array(join(got_id, np.int64)), "other": pa.array(join(got_other, np.int64)), "similarity": pa.array(join(got_sim, np.float64))})
 
     met = routed.groupBy("cell", "shard").applyInArrow(shard, "id long, other long, similarity double")
+    # what one vector's search found of another holds the other way too
     met = met.where(F.col("similarity") >= min_similarity)
+    met = met.select(F.explode(F.array(F.struct("id", "other", "similarity"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))).alias("m")).select("m.*")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     top = met.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     if not n_copies:
