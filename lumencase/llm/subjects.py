@@ -32,12 +32,13 @@ from lumencase.staging import cut, release
 MIN_SENTENCES, ROUNDS = 3, 4
 #: Terms that a line must have to be a sentence at all (a log line has fewer); two of them must be verified.
 MIN_TERMS = 4
-#: Documents' worth of base rate mixed into a term's share; the least share that verifies a term; lead over the second subject.
+#: Documents' worth of base rate mixed into a term's share; how much of the way from a subject's base rate to all of a
+#: term's documents verifies the term; lead over the second subject;
 #: and the share of a sentence's terms that must be verified for its subject.
-SHRINK, PURE, LEAD, COVER = 4.0, 0.5, 1.5, 0.2
+SHRINK, PURE, LEAD, COVER = 4.0, 0.4, 1.5, 0.2
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"'»”*)\]]*\s+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\S*\d\S*")
+_TOKEN = re.compile(r"\S*\d\S*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 NAME, NUMBER = "@", "#"
 
@@ -143,7 +144,8 @@ def sentence_labels(documents: DataFrame, examples: DataFrame, areas: DataFrame,
         shrunk = [(F.col(d) + SHRINK * b) / (mass + SHRINK) for d, b in zip(share, base, strict=True)]
         # verified: one subject holds most of the term's labelled documents, and most of its documents are labelled
         verified = shares.select("term", (mass / F.col("df")).alias("told"), *[x.alias(d) for x, d in zip(shrunk, share, strict=True)])
-        best = F.greatest(*share) if len(share) > 1 else F.col(share[0])
+        lead = [(F.col(d) - b) / max(1 - b, 1e-3) for d, b in zip(share, base, strict=True)]
+        best = F.greatest(*lead) if len(share) > 1 else F.lit(1.0)
         verified = verified.where((best >= PURE) & (F.col("told") >= 0.3))
         votes = terms.join(verified, "term", "left").groupBy("kind").agg((F.count("told") / F.count("*")).alias("cover"), F.count("*").alias("terms"), F.count("told").alias("verified"), *[F.sum(F.coalesce(F.greatest(F.log(F.col(d) / F.lit(b)), F.lit(0.0)), F.lit(0.0))).alias(d) for d, b in zip(share, base, strict=True)])
         ranked = F.array_sort(F.array(*[F.struct((-F.col(d)).alias("v"), F.lit(i).alias("s")) for i, d in enumerate(share)]))
