@@ -50,22 +50,36 @@ def _banded(hashes: DataFrame) -> DataFrame:
     return hashes.select("*", F.explode(bands).alias("b")).select(*hashes.columns, "b.band", "b.value")
 
 
+def _blocks(hashes: DataFrame, errors: bool) -> DataFrame:
+    """A row for each of four blocks of 16 bits; with ``errors`` also for each value one bit away from it."""
+    masks = F.array(F.lit(0), *[F.lit(1 << k) for k in range(16)]) if errors else F.array(F.lit(0))
+    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("p", 48 - 16 * i).bitwiseAND(0xFFFF).cast("int").alias("part")) for i in range(4)])
+    each = hashes.select("*", F.explode(blocks).alias("b")).select("*", F.explode(masks).alias("m"))
+    return each.select(*hashes.columns, "b.block", F.col("b.part").bitwiseXOR(F.col("m")).alias("part"))
+
+
 def near_pairs(hashes: DataFrame, threshold: int, max_bucket: int | None = MAX_BUCKET) -> DataFrame:
-    """a, b (a < b): pairs that share a band and differ in at most ``threshold`` bits, and ``threshold + 2`` of the second hash.
+    """a, b (a < b): near pairs that differ in at most ``threshold`` bits, and ``threshold + 2`` of the second hash.
 
     Equal hashes are collapsed first: copies are linked to the smallest id, and only distinct hashes are
-    paired, so a hash on very many rows costs one comparison. With ``max_bucket`` a bucket of more
-    distinct hashes is left to its other bands. Beyond a threshold of 7 some true pairs share no band;
-    ``exact_pairs`` finds those too.
+    paired, so a hash on very many rows costs one comparison. Up to 7 bits all pairs are found: of four blocks of
+    16 bits one then differs in at most one bit, which an equi-join of blocks with blocks one bit
+    away meets. Beyond 7, pairs are those that share one of eight bands of 8 bits (some true pairs share none), and with
+    ``max_bucket`` a bucket of more distinct hashes is left to its other bands.
     """
     distinct = hashes.groupBy("p", "d").agg(F.min("id").alias("id"))
     copies = hashes.join(distinct.withColumnRenamed("id", "a"), (hashes["p"] == distinct["p"]) & hashes["d"].eqNullSafe(distinct["d"])).select("a", hashes["id"].alias("b")).where("a < b")
-    banded = _banded(distinct)
-    if max_bucket is not None:
-        sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") <= max_bucket)
-        banded = banded.join(sizes.select("band", "value"), ["band", "value"], "left_semi")
-    x, y = banded.alias("x"), banded.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")))
+    if threshold <= 7:
+        x, y = _blocks(distinct, False).alias("x"), _blocks(distinct, True).alias("y")
+        same = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
+    else:
+        banded = _banded(distinct)
+        if max_bucket is not None:
+            sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") <= max_bucket)
+            banded = banded.join(sizes.select("band", "value"), ["band", "value"], "left_semi")
+        x, y = banded.alias("x"), banded.alias("y")
+        same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
+    met = x.join(y, same & (F.col("x.id") < F.col("y.id")))
     close = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) <= threshold
     agree = F.coalesce(F.bit_count(F.col("x.d").bitwiseXOR(F.col("y.d"))) <= threshold + 2, F.lit(True))
     return met.where(close & agree).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().unionByName(copies)
