@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lumencase.functions import scalars as S
 from lumencase.operators import dedupe, gallery, hashsets, intervals, reports, similarity, updates
+from lumencase.sources import media, sinks
+from lumencase.streaming import ingest
 from lumencase.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,22 +459,22 @@ _SECONDS = "CAST(floor(coalesce(duration, 0)) AS BIGINT)"
 
 @query(f"""SELECT id, split_part(replace(rel_path, chr(92), '/'), '/', -1) AS name, source, kind, {_SIZE_TEXT} AS size_text, CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN width || ' x ' || height ELSE '' END AS dimensions,
  CASE WHEN {_SECONDS} <= 0 THEN '' WHEN {_SECONDS} >= 3600 THEN printf('%d:%02d:%02d', {_SECONDS} // 3600, {_SECONDS} // 60 % 60, {_SECONDS} % 60) ELSE printf('%d:%02d', {_SECONDS} // 60, {_SECONDS} % 60) END AS duration_text FROM files""")
-def lava_media_files(spark: SparkSession, root: str) -> DataFrame:
+def artifact_media_files(spark: SparkSession, root: str) -> DataFrame:
     return reports.media_files(_files(spark, root))
 
 
 @query("SELECT id, rel_path, category FROM files WHERE category IS NOT NULL AND category <> 5")
-def lava_categorized(spark: SparkSession, root: str) -> DataFrame:
+def artifact_categorized(spark: SparkSession, root: str) -> DataFrame:
     return gallery.scope(_files(spark, root), "categorized").select("id", "rel_path", "category")
 
 
 @query(f"SELECT id, rel_path, gps_lat, gps_lon FROM files WHERE {_PLACED}")
-def lava_locations(spark: SparkSession, root: str) -> DataFrame:
+def artifact_locations(spark: SparkSession, root: str) -> DataFrame:
     return reports.located(_files(spark, root)).select("id", "rel_path", "gps_lat", "gps_lon")
 
 
 @query(f"SELECT floor(gps_lat / 10) * 10.0 AS cell_lat, floor(gps_lon / 10) * 10.0 AS cell_lon, count(*) AS n FROM files WHERE {_PLACED} GROUP BY 1, 2")
-def lava_location_overview(spark: SparkSession, root: str) -> DataFrame:
+def artifact_location_overview(spark: SparkSession, root: str) -> DataFrame:
     return reports.area_overview(_files(spark, root))
 
 
@@ -480,28 +482,28 @@ _TS = "CAST(floor(greatest(coalesce(k.ts, 0), 0)) AS BIGINT)"
 
 
 @query(f"""SELECT k.id AS frame_id, k.file_id, printf('%d:%02d:%02d', {_TS} // 3600, {_TS} // 60 % 60, {_TS} % 60) AS "offset", f.rel_path FROM keyframes k JOIN files f ON f.id = k.file_id""")
-def lava_keyframes(spark: SparkSession, root: str) -> DataFrame:
+def artifact_keyframes(spark: SparkSession, root: str) -> DataFrame:
     return reports.key_frames(_files(spark, root), table(spark, root, "keyframes"))
 
 
 @query(f"""SELECT s.stack_id, count(*) AS copies, count(DISTINCT f.rel_path) AS paths, count(DISTINCT f.source) AS sources, max(f.size) AS bytes, sum(f.size) AS all_bytes FROM files f JOIN {_STACKS_SQL} s ON s.id = f.id GROUP BY 1 HAVING count(*) > 1""")
-def lava_duplicates(spark: SparkSession, root: str) -> DataFrame:
+def artifact_duplicates(spark: SparkSession, root: str) -> DataFrame:
     f = _files(spark, root)
     return reports.duplicate_stacks(f, dedupe.stack_exact(f))
 
 
 @query("SELECT vstack_id AS group_id, count(*) AS files, count(DISTINCT md5) AS distinct_md5, count(DISTINCT source) AS sources, sum(size) AS bytes FROM files WHERE vstack_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def lava_similar(spark: SparkSession, root: str) -> DataFrame:
+def artifact_similar(spark: SparkSession, root: str) -> DataFrame:
     return reports.groups_report(_files(spark, root), "vstack_id")
 
 
 @query(f"WITH {_HITS} SELECT f.id, f.rel_path, h.name, h.via, h.category FROM files f JOIN hits h ON h.id = f.id")
-def lava_hashset_hits(spark: SparkSession, root: str) -> DataFrame:
+def artifact_hashset_hits(spark: SparkSession, root: str) -> DataFrame:
     return _hits(spark, root).select("id", "name", "via", "category").join(_files(spark, root).select("id", "rel_path"), "id")
 
 
 @query(f"WITH {_HITS} SELECT id, name, media_id FROM hits WHERE src = 'vic' AND media_id IS NOT NULL")
-def lava_vic_matches(spark: SparkSession, root: str) -> DataFrame:
+def artifact_vic_matches(spark: SparkSession, root: str) -> DataFrame:
     return _hits(spark, root).where("src = 'vic' and media_id is not null").select("id", "name", "media_id")
 
 
@@ -639,3 +641,28 @@ def crypto_hashes(spark: SparkSession, root: str) -> DataFrame:
 def storage_view_plan(spark: SparkSession, root: str) -> DataFrame:
     v = _files(spark, root).select(S.storage_view(F.col("path")).alias("v"), "size").where("v is not null")
     return v.groupBy("v.key").agg(F.count("*").alias("spellings"), F.countDistinct("size").alias("sizes"))
+
+
+# ---- exports and streams ----------------------------------------------------------------------------------
+
+
+@query()
+def vic_index(spark: SparkSession, root: str) -> DataFrame:
+    return media.vic_index(table(spark, root, "vic_raw"))
+
+
+@query()
+def vic_export_join(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks' media with the category the catalog gives them by content."""
+    decided = _files(spark, root).select(F.lit(None).cast("long").alias("media_id"), "md5", "category", F.col("error").alias("comments"))
+    return sinks.vic_export(media.vic_index(table(spark, root, "vic_raw")), decided)
+
+
+@query()
+def export_placemarks(spark: SparkSession, root: str) -> DataFrame:
+    return sinks.placemarks(_files(spark, root))
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_activity(spark: SparkSession, root: str) -> DataFrame:
+    return ingest.activity(table(spark, root, "events"))

@@ -65,4 +65,10 @@ SQL: dict[str, str] = {
 WITH p AS (SELECT id, gps_lat AS lat, gps_lon AS lon FROM files WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT (gps_lat = 0 AND gps_lon = 0))
 SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.id < b.id AND abs(a.lat - b.lat) < 0.001
 WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30""",
+    "p6_found": """
+WITH RECURSIVE t AS (
+  SELECT id, id AS root_id, 0 AS depth, CAST(id AS VARCHAR) AS id_path FROM files WHERE container_id IS NULL OR container_id NOT IN (SELECT id FROM files)
+  UNION ALL SELECT f.id, t.root_id, t.depth + 1, t.id_path || '/' || f.id FROM t JOIN files f ON f.container_id = t.id)
+SELECT f.id, coalesce(t.root_id, -1) AS root_id, CAST(coalesce(t.depth, -1) AS INT) AS depth, coalesce(t.id_path, '') AS id_path
+FROM files f LEFT JOIN t ON t.id = f.id WHERE f.container_id IS NOT NULL""",
 }
