@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumencase.staging import cut, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written to the shared folder, and their number and checksum, counted while they are written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("check"))
+    out = cut(counted)
+    got = seen.get
+    return out, (got["n"], got["check"])
 
 
 def min_labels(edges: DataFrame) -> DataFrame:
@@ -22,8 +27,7 @@ def min_labels(edges: DataFrame) -> DataFrame:
     partial aggregation and joined one to many, so adaptive skew handling can split it.
     """
     clean = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    now = cut(clean)
-    state = _state(now)
+    now, state = _staged(clean)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -32,9 +36,9 @@ def min_labels(edges: DataFrame) -> DataFrame:
         # small star: (a, b) with a < b; the smaller neighbours of b, and b itself, go to the smallest of them
         m = starred.groupBy("b").agg(F.min("a").alias("m"))
         small = starred.join(m, "b").select("m", F.explode(F.array("a", "b")).alias("x")).where("m < x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
-        after = cut(small)
+        after, new = _staged(small)
         release(now, starred)
-        was, now, state = state, after, _state(after)
+        was, now, state = state, after, new
         if was == state:
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
