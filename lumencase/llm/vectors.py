@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lumencase.staging import cut, small_enough
 
 #: Vectors the centroids are fitted on at most; indexed vectors a shard has at most (about); other cells a vector asks.
-SAMPLE_ROWS, SHARD_ROWS, CELL_ROWS, PROBES = 8192, 24_576, 12_288, 2
+SAMPLE_ROWS, SHARD_ROWS, CELL_ROWS, PROBES = 8192, 32_768, 16_384, 2
 #: Neighbours a vector keeps on the ground level and above; candidates while building and while searching.
 GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 20
 #: Neighbours a search returns beyond k; the vectors they are found for gain candidates the other way.
