@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumencase.functions.arrow import sliced
 from lumencase.staging import cut
 
 #: Consecutive words that make a leak; item windows per pass (16 bytes each, 32 MB).
@@ -153,7 +154,7 @@ def _finder(spark, block: list[tuple[int, str]], window: int):
         memo: dict[str, int] = {}
         names = ["doc_id", "item_id", "doc_at", "item_at", "slots", "kind"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, named = spaced_words(text)

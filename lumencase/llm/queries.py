@@ -22,7 +22,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _known_md5(spark: SparkSession, root: str) -> list[DataFrame]:
-    entries = table(spark, root, "hashset_entries").where(F.lower(F.trim("algo")) == "md5")
+    entries = table(spark, root, "hashset_entries").where(F.lower(F.regexp_replace("algo", r"^\s+|\s+$", "")) == "md5")
     return [entries.select(seen.md5_key("value").alias("key")), table(spark, root, "stash").select(seen.md5_key("md5").alias("key"))]
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumencase.functions.arrow import sliced
 from lumencase.staging import cut, release
 
 #: Sentences on a subject that put a document in it; rounds of propagation.
@@ -85,7 +86,7 @@ _LINKS = "owner long, kind long, n int, terms array<long>"
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """owner, kind (sentence type), n, terms (only where the type is met first in the batch)."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows, met = [], {}
         for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own: dict[int, int] = {}
