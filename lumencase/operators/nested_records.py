@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumencase.functions.arrow import sliced
 from lumencase.functions.payloads import whole_json
 from lumencase.staging import cut
 
@@ -83,7 +84,7 @@ def _clean(text: str | None) -> str | None:
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "key", "node", "field", "ordinal", "child", "kind", "scalars", "value"]
     types = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-    for batch in batches:
+    for batch in sliced(batches):
         nodes: dict[bytes, tuple] = {}
         links: dict[tuple, None] = {}
         rows: list[tuple] = []
@@ -170,7 +171,7 @@ def media_children(chunks: DataFrame, key: str = "raw_id", payload: str = "paylo
     one = lambda child, name: F.struct(F.lit(child).alias("child"), F.lit(0).alias("child_seq"), name.alias("name"))
     other_tag = F.when(~s["Tags"].startswith('"') & ~s["Tags"].isin("[", "{"), F.array(one("tag", _text(s["Tags"]))))
     series = F.when(~s["Series"].isin("[", "{"), F.array(one("series", _text(s["Series"]))))
-    is_true = lambda t: F.lower(_text(t)).isin("true", "1", "1.0")
+    is_true = lambda t: F.lower(_text(t)).isin("true", "1") | (t == "1.0")
     names = F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])
     flags = F.transform(
         F.array_distinct(F.transform(F.map_keys(F.map_filter(s, lambda f, t: F.lower(f).isin(*FLAGS) & is_true(t))), F.lower)),
