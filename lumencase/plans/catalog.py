@@ -666,3 +666,43 @@ def export_placemarks(spark: SparkSession, root: str) -> DataFrame:
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_activity(spark: SparkSession, root: str) -> DataFrame:
     return ingest.activity(table(spark, root, "events"))
+
+
+# ---- further reports --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM (SELECT k, s - min(s) OVER (PARTITION BY k) AS s, e - min(s) OVER (PARTITION BY k) AS e FROM {_SPANS})),
+n AS (SELECT *, CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END AS b FROM m), g AS (SELECT *, sum(b) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM n),
+runs AS (SELECT k, run, max(e) AS e, count(*) AS pieces FROM g GROUP BY 1, 2)
+SELECT k, arg_min(e, run) AS reach, arg_min(pieces, run) AS pieces, CASE WHEN count(*) > 1 THEN 'gap' ELSE 'complete' END AS state FROM runs GROUP BY 1""")
+def piece_reach(spark: SparkSession, root: str) -> DataFrame:
+    """How far each item's pieces reach from its first one without a gap."""
+    spans = _spans(spark, root)
+    first = spans.groupBy("k").agg(F.min("start").alias("s0"))
+    moved = spans.join(first, "k").select("k", (F.col("start") - F.col("s0")).alias("start"), (F.col("end") - F.col("s0")).alias("end"))
+    return intervals.first_run(moved, "k")
+
+
+@query("""SELECT id FROM (SELECT id, sum(size) OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM files) WHERE used <= 50000000""")
+def cache_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The newest files of each source that fit a cache of 50 MB together."""
+    return intervals.until_full(_files(spark, root), "source", "ingested_at", "id", "size", 50_000_000).select("id")
+
+
+@query(f"""WITH {_HITS}, fl AS (SELECT file_id, string_agg(name, ', ' ORDER BY name) AS flags FROM {_FLAGS_SQL} GROUP BY 1),
+so AS (SELECT id, string_agg(name || ' (' || via || ')', '; ' ORDER BY {_ORDER}, ao, hs, name) AS sources FROM hits GROUP BY id)
+SELECT f.id, split_part(replace(f.rel_path, chr(92), '/'), '/', -1) AS name, f.kind, f.category, coalesce(fl.flags, '') AS flags, coalesce(so.sources, '') AS sources, coalesce(s.state, 'unread') AS side
+FROM files f LEFT JOIN fl ON fl.file_id = f.id LEFT JOIN so ON so.id = f.id LEFT JOIN {_SIDE_SQL} s ON s.file_id = f.id""")
+def report_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Every file with its flags, the sets that list it and what the side table says: one pass of joins."""
+    f = _files(spark, root)
+    flags = _flags(f).groupBy(F.col("file_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("flags"))
+    side = _side(spark, root).select(F.col("file_id").alias("id"), "state")
+    joined = f.select("id", S.base_name(F.col("rel_path")).alias("name"), "kind", "category").join(flags, "id", "left").join(hashsets.sources_text(_hits(spark, root)), "id", "left").join(side, "id", "left")
+    return joined.select("id", "name", "kind", "category", F.coalesce("flags", F.lit("")).alias("flags"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("state", F.lit("unread")).alias("side"))
+
+
+@query(f"""WITH {_HITS} SELECT h.name, count(DISTINCT h.id) AS files FROM hits h LEFT JOIN hashsets s ON s.name = h.name WHERE s.id IS NULL GROUP BY 1""")
+def orphan_sets(spark: SparkSession, root: str) -> DataFrame:
+    """Sets that files were matched to but that are not in the list of sets."""
+    return _hits(spark, root).join(table(spark, root, "hashsets").select("name"), "name", "left_anti").groupBy("name").agg(F.countDistinct("id").alias("files"))
