@@ -17,6 +17,7 @@ LIST_COLUMNS = (
     "id path rel_path source kind ext size mtime ctime atime md5 sha1 sha256 phash dhash width height duration created_dt "
     "gps_lat gps_lon camera category reviewed error ingested_at stack_id vstack_id origin container_id"
 ).split()
+TEXT_COLUMNS = "path rel_path source kind ext created_dt camera error origin md5 sha1 sha256 phash dhash".split()
 #: Columns a search looks into.
 SEARCHED = "rel_path camera source created_dt error md5 sha1 sha256 phash".split()
 #: How a file came to be known.
@@ -52,8 +53,9 @@ def column_filter(column: str, op: str, value: object = None) -> Column | None:
             n = float(value)  # type: ignore[arg-type]
         except (TypeError, ValueError):
             return None
-        number = real_prefix(text) if column in ("path", "rel_path", "source", "kind", "ext", "created_dt", "camera", "error", "origin") else c.cast("double")
-        number = F.when(c.isNotNull(), number)
+        # a whole bound is compared as one, so that the comparison with a whole column reaches the scan
+        n = int(n) if n.is_integer() else n
+        number = F.when(c.isNotNull(), real_prefix(text)) if column in TEXT_COLUMNS else c
         return {"min": number >= n, "max": number <= n, "gt": number > n, "lt": number < n}[op]
     return None
 
