@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumencase.functions.scalars import hexbits, meaningful
 from lumencase.operators.components import min_labels
 
-#: Bands of a 64-bit hash; a bucket with more members than this is not paired by the band rule.
-BANDS, MAX_BUCKET = 8, 1500
+#: Bands of a 64-bit hash; distinct hashes of a bucket that one task compares with as many others (about).
+BANDS, TILE_ROWS = 8, 4096
 
 
 def stack_key() -> Column:
@@ -58,27 +60,51 @@ def _blocks(hashes: DataFrame, errors: bool) -> DataFrame:
     return each.select(*hashes.columns, "b.block", F.col("b.part").bitwiseXOR(F.col("m")).alias("part"))
 
 
-def near_pairs(hashes: DataFrame, threshold: int, max_bucket: int | None = MAX_BUCKET) -> DataFrame:
+def _band_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
+    """a, b (a < b): the near pairs of distinct hashes that share a band, whatever the size of its bucket.
+
+    A bucket of more than TILE_ROWS hashes is split into parts by a hash, and every two parts meet in a task of their own.
+    """
+    banded = _banded(distinct)
+    # at most 8 x 256 rows, whatever the number of hashes
+    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / TILE_ROWS).alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    tiles = banded.join(F.broadcast(sizes), ["band", "value"]).withColumn("part", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("id", "p", "d", "part", "band", "value", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids, part = table["id"].to_numpy(), table["part"].to_numpy()
+        p, d, both = table["p"].to_numpy().view(np.uint64), table["d"].fill_null(0).to_numpy().view(np.uint64), table["d"].is_valid().to_numpy()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        x, y = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        got_a, got_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(x) if len(y) else 0, 256):
+            rows = x[at : at + 256]
+            met = np.flatnonzero(np.bitwise_count(p[rows][:, None] ^ p[y][None, :]) <= threshold)
+            i, j = rows[met // len(y)], y[met % len(y)]
+            keep = (ids[i] < ids[j]) | (lo != hi)  # within one part every pair is met both ways
+            keep &= (np.bitwise_count(d[i] ^ d[j]) <= threshold + 2) | ~(both[i] & both[j])
+            got_a.append(np.minimum(ids[i], ids[j])[keep]), got_b.append(np.maximum(ids[i], ids[j])[keep])
+        return pa.table({"a": pa.array(np.concatenate(got_a)), "b": pa.array(np.concatenate(got_b))})
+
+    return tiles.groupBy("band", "value", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """a, b (a < b): near pairs that differ in at most ``threshold`` bits, and ``threshold + 2`` of the second hash.
 
     Equal hashes are collapsed first: copies are linked to the smallest id, and only distinct hashes are
     paired, so a hash on very many rows costs one comparison. Up to 7 bits all pairs are found: of four blocks of
     16 bits one then differs in at most one bit, which an equi-join of blocks with blocks one bit
-    away meets. Beyond 7, pairs are those that share one of eight bands of 8 bits (some true pairs share none), and with
-    ``max_bucket`` a bucket of more distinct hashes is left to its other bands.
+    away meets. Beyond 7, pairs are those that share one of eight bands of 8 bits, as in the registered SQL (some true
+    pairs share none); all hashes of a band's bucket are compared, however many they are.
     """
     distinct = hashes.groupBy("p", "d").agg(F.min("id").alias("id"))
     copies = hashes.join(distinct.withColumnRenamed("id", "a"), (hashes["p"] == distinct["p"]) & hashes["d"].eqNullSafe(distinct["d"])).select("a", hashes["id"].alias("b")).where("a < b")
-    if threshold <= 7:
-        x, y = _blocks(distinct, False).alias("x"), _blocks(distinct, True).alias("y")
-        same = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
-    else:
-        banded = _banded(distinct)
-        if max_bucket is not None:
-            sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") <= max_bucket)
-            banded = banded.join(sizes.select("band", "value"), ["band", "value"], "left_semi")
-        x, y = banded.alias("x"), banded.alias("y")
-        same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
+    if threshold > 7:
+        return _band_pairs(distinct, threshold).unionByName(copies)
+    x, y = _blocks(distinct, False).alias("x"), _blocks(distinct, True).alias("y")
+    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
     met = x.join(y, same & (F.col("x.id") < F.col("y.id")))
     close = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) <= threshold
     agree = F.coalesce(F.bit_count(F.col("x.d").bitwiseXOR(F.col("y.d"))) <= threshold + 2, F.lit(True))
