@@ -39,6 +39,8 @@ SPARE = 6
 FLAT = 8192
 #: The step after which a search gives up that has met nothing within FLOOR_GAP of the similarity asked for.
 FLOOR_STEP, FLOOR_GAP = 4, 0.3
+#: Centroids more similar than this are one: copies whose float32 directions differ in the last bits.
+SAME_CENTROID = 1 - 1e-5
 #: Cells at most: the centroid table stays under 16 MB of 128 numbers.
 MAX_CELLS = 32_768
 
@@ -248,11 +250,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
 
 
 def centroids(vectors: DataFrame, cells: int, size: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 6) -> np.ndarray:
-    """``cells`` unit centroids by spherical k-means over a bounded sample: the vectors with the smallest id hashes."""
+    """At most ``cells`` unit centroids by spherical k-means over a bounded sample: the vectors with the smallest id hashes.
+
+    Of equal centroids one is kept: a vector that asks cells of the same direction would meet none beyond them.
+    """
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()
     x = _matrix(sample["v"], size)
     if not len(x):
         return np.zeros((1, size), dtype=np.float32)
+    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
     c = x[:: max(1, len(x) // cells)][:cells].copy()
     for _ in range(rounds):
         home = np.argmax(x @ c.T, axis=1)
@@ -260,7 +266,8 @@ def centroids(vectors: DataFrame, cells: int, size: int, sample_rows: int = SAMP
         np.add.at(total, home, x)
         norm = np.linalg.norm(total, axis=1)
         c = np.where((norm > 0)[:, None], total / np.maximum(norm, 1e-30)[:, None], c).astype(np.float32)
-    return c
+    again = [(np.tril(c[at : at + 1024] @ c.T, at - 1) > SAME_CENTROID).any(axis=1) for at in range(0, len(c), 1024)]
+    return c[~np.concatenate(again)]
 
 
 def _route(vectors: DataFrame, c: np.ndarray, size: int, probes: int) -> DataFrame:
@@ -301,8 +308,8 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     indexed = unit
     if n_copies:
         indexed = unit.join(F.broadcast(extra) if small_enough(n_extra, 24) else extra, "id", "left_anti")
-    cells = int(min(MAX_CELLS, max(1, -(-total // CELL_ROWS))))
-    c = centroids(unit, cells, size)
+    cells = int(min(MAX_CELLS, max(1, -(-(total - n_extra) // CELL_ROWS))))  # of the vectors indexed, as the centroids are
+    c = centroids(indexed, cells, size)
     routed = _route(indexed, c, size, probes)
     # cells that are too large for one task are split by a hash; every query of such a cell asks all its shards
     sizes = routed.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)

@@ -81,3 +81,15 @@ def test_recall_report(spark):
     r = recall_report(table(spark, zip(range(600), x.tolist(), strict=True)), every=10).first()
     assert r["queries"] > 0 and r["recall"] >= 0.9
     assert r["missed"] == r["true_neighbours"] - round(r["recall"] * r["true_neighbours"])
+
+
+def test_a_vector_on_a_third_of_rows_meets_its_neighbours_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=128)
+    hot /= np.linalg.norm(hot)
+    around = hot + 0.6 * rng.normal(size=(100, 128)) / np.sqrt(128)
+    x = np.vstack([np.repeat(hot[None, :], 750, axis=0), around, people(1200, 128, 5)])
+    order = rng.permutation(len(x))
+    got = nearest(table(spark, [(int(i), x[i].tolist()) for i in order]), 10, 0.7).where("other < 750").select("id").distinct().collect()
+    assert len({r["id"] for r in got} & set(range(750, 850))) >= 95
