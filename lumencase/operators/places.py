@@ -214,7 +214,8 @@ def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
     at = at.withColumn("tx", F.expr("pmod(floor((x + 180) / (360.0D / shiftleft(1L, level))), shiftleft(1L, level))"))
     at = at.withColumn("ty", F.expr("floor((y + 90) / (360.0D / shiftleft(1L, level)))"))
     met = at.join(parts, ["level", "tx", "ty"])
-    lon = "(x + shift)"
+    # longitude 180 is -180 here, where its tile begins; a slab that holds 180 goes on in that tile with shift 360
+    lon = "(if(x = 180, -180D, x) + shift)"
     # binary search: (lo, hi) closes in on the number of edges below the point, in as many steps as the edges' number has bits
     below = f"""aggregate(sequence(0, length(bin(size(edges)))), struct(0 as lo, size(edges) as hi), (a, i) ->
         case when a.lo >= a.hi then a

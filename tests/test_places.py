@@ -83,3 +83,14 @@ def test_odd_and_missing_areas(spark):
     assert inside(p, spark.createDataFrame(rows, AREA)).count() == 0
     assert inside(p, spark.createDataFrame([], AREA)).count() == 0
     assert inside(p.limit(0), spark.createDataFrame([(6, "n", "circle", 1.0, 1.0, 5.0, None, "z")], AREA)).count() == 0
+
+
+def test_points_at_exactly_180_are_inside_areas_across_the_antimeridian(spark):
+    boxes = {1: (179.7, 180.35), 2: (-180.35, -179.7), 3: (179.0, 180.0), 4: (-180.0, -179.0), 5: (178.0, 179.0), 6: (100.0, 260.0)}
+    areas = [(i, "polygon", None, None, None, [[(x0, -19.0), (x1, -19.0), (x1, -17.0), (x0, -17.0)]]) for i, (x0, x1) in boxes.items()] + [(20, "circle", -18.0, 179.9, 30_000.0, None)]
+    text = lambda ring: "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in ring + ring[:1]) + "))"
+    table = spark.createDataFrame([(a, "n", k, la, lo, r, text(s[0]) if s else None, "z") for a, k, la, lo, r, s in areas], AREA)
+    rows = [(1, -17.98886, 180.0), (2, -17.98886, -180.0), (3, -16.0, 180.0), (4, -18.5, 179.8)]
+    got = {tuple(r) for r in inside(points(spark, rows), table).collect()}
+    assert got == _brute(rows, areas)
+    assert {(1, 1), (1, 2), (1, 4), (1, 6), (1, 20)} <= got
