@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumencase.functions.scalars import hexbits, meaningful
 from lumencase.operators.components import min_labels
 
-#: Bands of a 64-bit hash; distinct hashes of a bucket that one task compares with as many others (about).
-BANDS, TILE_ROWS = 8, 4096
+#: Bands of a 64-bit hash; blocks that near pairs are looked up by, at least; distinct hashes for each task of their join.
+BANDS, LEAST_BLOCKS, TASK_HASHES = 8, 4, 1000
 
 
 def stack_key() -> Column:
@@ -52,60 +52,33 @@ def _banded(hashes: DataFrame) -> DataFrame:
     return hashes.select("*", F.explode(bands).alias("b")).select(*hashes.columns, "b.band", "b.value")
 
 
-def _blocks(hashes: DataFrame, errors: bool) -> DataFrame:
-    """A row for each of four blocks of 16 bits; with ``errors`` also for each value one bit away from it."""
-    masks = F.array(F.lit(0), *[F.lit(1 << k) for k in range(16)]) if errors else F.array(F.lit(0))
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("p", 48 - 16 * i).bitwiseAND(0xFFFF).cast("int").alias("part")) for i in range(4)])
-    each = hashes.select("*", F.explode(blocks).alias("b")).select("*", F.explode(masks).alias("m"))
-    return each.select(*hashes.columns, "b.block", F.col("b.part").bitwiseXOR(F.col("m")).alias("part"))
-
-
-def _band_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
-    """a, b (a < b): the near pairs of distinct hashes that share a band, whatever the size of its bucket.
-
-    A bucket of more than TILE_ROWS hashes is split into parts by a hash, and every two parts meet in a task of their own.
-    """
-    banded = _banded(distinct)
-    # at most 8 x 256 rows, whatever the number of hashes
-    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / TILE_ROWS).alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    tiles = banded.join(F.broadcast(sizes), ["band", "value"]).withColumn("part", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("id", "p", "d", "part", "band", "value", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, part = table["id"].to_numpy(), table["part"].to_numpy()
-        p, d, both = table["p"].to_numpy().view(np.uint64), table["d"].fill_null(0).to_numpy().view(np.uint64), table["d"].is_valid().to_numpy()
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        x, y = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        got_a, got_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(x) if len(y) else 0, 256):
-            rows = x[at : at + 256]
-            met = np.flatnonzero(np.bitwise_count(p[rows][:, None] ^ p[y][None, :]) <= threshold)
-            i, j = rows[met // len(y)], y[met % len(y)]
-            keep = (ids[i] < ids[j]) | (lo != hi)  # within one part every pair is met both ways
-            keep &= (np.bitwise_count(d[i] ^ d[j]) <= threshold + 2) | ~(both[i] & both[j])
-            got_a.append(np.minimum(ids[i], ids[j])[keep]), got_b.append(np.maximum(ids[i], ids[j])[keep])
-        return pa.table({"a": pa.array(np.concatenate(got_a)), "b": pa.array(np.concatenate(got_b))})
-
-    return tiles.groupBy("band", "value", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
+def _blocks(hashes: DataFrame, count: int, radius: int) -> DataFrame:
+    """A row for each block of a hash and each value within ``radius`` bits of that block; ``key`` is block and value as one number."""
+    edges = [round(i * 64 / count) for i in range(count + 1)]
+    widest = max(b - a for a, b in pairwise(edges))
+    masks = [sum(1 << k for k in bits) for r in range(radius + 1) for bits in combinations(range(widest), r)]
+    parts = [F.shiftrightunsigned("p", 64 - high).bitwiseAND((1 << (high - low)) - 1).bitwiseOR(i << 32) for i, (low, high) in enumerate(pairwise(edges))]
+    each = hashes.select("*", F.explode(F.array(*parts)).alias("b")).select("*", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m"))
+    return each.select(*hashes.columns, F.col("b").bitwiseXOR(F.col("m")).alias("key"))
 
 
 def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
-    """a, b (a < b): near pairs that differ in at most ``threshold`` bits, and ``threshold + 2`` of the second hash.
+    """a, b (a < b): all pairs that differ in at most ``threshold`` bits, and ``threshold + 2`` of the second hash.
 
     Equal hashes are collapsed first: copies are linked to the smallest id, and only distinct hashes are
-    paired, so a hash on very many rows costs one comparison. Up to 7 bits all pairs are found: of four blocks of
-    16 bits one then differs in at most one bit, which an equi-join of blocks with blocks one bit
-    away meets. Beyond 7, pairs are those that share one of eight bands of 8 bits, as in the registered SQL (some true
-    pairs share none); all hashes of a band's bucket are compared, however many they are.
+    paired, so a hash on very many rows costs one comparison. The 64 bits are cut into so many blocks that of a
+    pair within the threshold at least one block differs in two bits at most. Each side is laid out with the values within half of
+    those errors of its blocks, so an equi-join on block and value meets every such pair: none is lost and no
+    bucket is capped; a bucket of very many hashes is a skewed join key, which adaptive execution splits.
     """
     distinct = hashes.groupBy("p", "d").agg(F.min("id").alias("id"))
     copies = hashes.join(distinct.withColumnRenamed("id", "a"), (hashes["p"] == distinct["p"]) & hashes["d"].eqNullSafe(distinct["d"])).select("a", hashes["id"].alias("b")).where("a < b")
-    if threshold > 7:
-        return _band_pairs(distinct, threshold).unionByName(copies)
-    x, y = _blocks(distinct, False).alias("x"), _blocks(distinct, True).alias("y")
-    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
-    met = x.join(y, same & (F.col("x.id") < F.col("y.id")))
+    count = max(LEAST_BLOCKS, (threshold + 3) // 3)
+    errors = threshold // count
+    # the join emits far more candidates than it reads, so its tasks are counted by hashes and not merged by bytes
+    tasks = max(hashes.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // TASK_HASHES))
+    x, y = (_blocks(distinct, count, radius).repartition(tasks, "key").alias(side) for side, radius in (("x", errors // 2), ("y", errors - errors // 2)))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     close = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) <= threshold
     agree = F.coalesce(F.bit_count(F.col("x.d").bitwiseXOR(F.col("y.d"))) <= threshold + 2, F.lit(True))
     return met.where(close & agree).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().unionByName(copies)
@@ -126,10 +99,6 @@ def spread_to_copies(files: DataFrame, labels: DataFrame) -> DataFrame:
     return heads.join(labels.withColumnRenamed("id", "head"), "head").select("id", "group_id")
 
 
-def group_sizes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("group_id").agg(F.count("*").alias("n"))
-
-
 def middle_of(rows: DataFrame, partition: str, order: str, tie: str) -> DataFrame:
     """The middle row (number n // 2 from 0) of each partition in order."""
     w = Window.partitionBy(partition)

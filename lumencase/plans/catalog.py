@@ -225,11 +225,7 @@ def band_candidates(spark: SparkSession, root: str) -> DataFrame:
 
 def _pairs_sql(t: int) -> str:
     return f"""{_HASHED}, u AS (SELECT p, d, min(id) AS id FROM h GROUP BY p, d),
-bands AS (SELECT id, p, d, b, (p >> (56 - 8 * b)) & 255 AS v FROM u, range(8) t(b)),
-fine AS (SELECT b, v FROM bands GROUP BY b, v HAVING count(*) <= 1500),
-kept AS (SELECT x.* FROM bands x JOIN fine y ON x.b = y.b AND x.v = y.v),
-pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM kept x JOIN kept y ON x.b = y.b AND x.v = y.v AND x.id < y.id
- WHERE bit_count(xor(x.p, y.p)) <= {t} AND coalesce(bit_count(xor(x.d, y.d)) <= {t + 2}, true)
+pairs AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id < y.id AND bit_count(xor(x.p, y.p)) <= {t} AND coalesce(bit_count(xor(x.d, y.d)) <= {t + 2}, true)
  UNION ALL SELECT u.id, h.id FROM u JOIN h ON h.p = u.p AND h.d IS NOT DISTINCT FROM u.d WHERE u.id < h.id)"""
 
 
