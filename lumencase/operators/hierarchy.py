@@ -8,8 +8,8 @@
 Method. Rows that contain nothing are leaves and leave in the first peel, all at once, as one
 pre-aggregated count per parent; only the containers take part in the rounds after it. In each
 round the containers without unpeeled children send their subtree size to their parent and
-leave; what never leaves lies on a circle. Then the peel is run backwards: a container gets its
-root, depth and path from its parent, which was peeled later than itself. Containers that no
+leave; what never leaves lies on a circle. Then the peel is run backwards in bands of rounds: a container
+gets its root, depth and path from an ancestor that was peeled in a later band. Containers that no
 root reaches lie on a circle or below one.
 
 A parent with any number of children is safe: children are summed by partial aggregation
@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 
 from lumencase.staging import cut, release
 
-#: Rounds planned as one job; the state is written to the shared folder between jobs.
+#: Rounds planned as one job, a band; the state is written to the shared folder between jobs.
 ROUNDS_PER_JOB = 8
-#: Levels that one join of the backward run covers.
-HOPS_PER_STEP = 8
 
 
 def _links(rows: DataFrame, id: str, parent: str) -> DataFrame:
@@ -66,8 +64,8 @@ def _peel_round(state: DataFrame, level: Column) -> DataFrame:
     return rows.groupBy("node").agg(F.max("up").alias("up"), F.sum("pending").alias("pending"), F.sum("held").alias("held"), F.max("level").alias("level"))
 
 
-def _peel(inner: DataFrame) -> DataFrame:
-    """node, up, held (rows below it, at any depth), level (its peel round; null on a circle)."""
+def _peel(inner: DataFrame) -> tuple[DataFrame, int]:
+    """(node, up, held (rows below it, at any depth), level (its peel round; null on a circle); the number of rounds)."""
     state = inner.select(
         "node", "up", F.col("inner_kids").cast("long").alias("pending"),
         (F.col("kids") - F.col("inner_kids")).cast("long").alias("held"), F.lit(None).cast("int").alias("level"),
@@ -78,45 +76,52 @@ def _peel(inner: DataFrame) -> DataFrame:
             level += 1
             state = _peel_round(state, F.lit(level))
         staged = cut(state)
-        peeled, rows = staged.agg(F.count("level"), F.count("*")).first()
+        last, left = staged.agg(F.max("level"), F.count_if(F.col("level").isNull())).first()
         done.append(staged.where("level is not null"))
         state = staged.where("level is null")
-        if peeled in (0, rows):
-            return reduce(DataFrame.unionByName, [*done, state])
+        # a round in which nothing left is the last: what is there still lies on circles
+        if not left or last is None or last < level:
+            out = cut(reduce(DataFrame.unionByName, [*done, state]))
+            release(*done)
+            return out, level
 
 
-def _climb(below: DataFrame, separator: str) -> DataFrame:
-    """node, top, hops, way: each node's ancestor HOPS_PER_STEP links up, or its root if that is nearer.
+def _ways(peeled: DataFrame, separator: str) -> DataFrame:
+    """node, band, top, hops, way of every peeled node with a parent: its nearest ancestor that is a root or was peeled in a later band.
 
-    The backward run through the peel then takes one join for HOPS_PER_STEP levels.
+    A band is ROUNDS_PER_JOB peel rounds. A parent is always peeled after its children, so within a band
+    there are at most ROUNDS_PER_JOB steps, and doubling them covers all in their logarithm of joins.
     """
-    link = below.select(F.col("node").alias("top"), F.col("up").alias("next"))
-    now = below.select("node", F.col("up").alias("top"), F.lit(1).alias("hops"), F.col("node").cast("string").alias("way"))
-    for _ in range(HOPS_PER_STEP - 1):
-        now = now.join(link, "top", "left").select(
-            "node", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNull(), F.col("hops")).otherwise(F.col("hops") + 1).alias("hops"),
-            F.when(F.col("next").isNull(), F.col("way")).otherwise(F.concat_ws(separator, F.col("top").cast("string"), "way")).alias("way"),
-        )
-    return now
+    band = F.floor((F.col("level") - 1) / ROUNDS_PER_JOB).cast("int")
+    tops = peeled.select(F.col("node").alias("top"), band.alias("top_band"))
+    now = peeled.where("up is not null and level is not null").select(F.col("up").alias("top"), "node", band.alias("band"), F.lit(1).alias("hops"), F.col("node").cast("string").alias("way"))
+    now = now.join(tops, "top").select("node", "band", "top", "top_band", "hops", "way")
+    for _ in range((ROUNDS_PER_JOB - 1).bit_length()):
+        higher = now.select(F.col("node").alias("top"), F.col("top").alias("t"), F.col("top_band").alias("tb"), F.col("hops").alias("h"), F.col("way").alias("w"))
+        same = F.col("t").isNotNull() & (F.col("top_band") == F.col("band"))
+        pick = lambda a, b: F.when(same, a).otherwise(b)
+        now = cut(now.join(higher, "top", "left").select(
+            "node", "band", pick(F.col("t"), F.col("top")).alias("top"), pick(F.col("tb"), F.col("top_band")).alias("top_band"),
+            pick(F.col("hops") + F.col("h"), F.col("hops")).alias("hops"), pick(F.concat_ws(separator, "w", "way"), F.col("way")).alias("way"),
+        ))
+    return now.select("node", "band", "top", "hops", "way")
 
 
 def containers(rows: DataFrame, id: str = "id", parent: str = "container_id", separator: str = "/") -> DataFrame:
     """node, up, held, level, root, depth, path of every row that is the parent of another.
 
-    On or below a circle root and depth are -1 and path is ''.
+    Roots are peeled nodes without a parent; the bands of the peel are then run backwards, each taking root, depth and path
+    from the bands after it. On or below a circle, which no root reaches, root and depth are -1 and path is ''.
     """
     inner = _inner(_links(rows, id, parent))
-    peeled = cut(_peel(inner))
+    peeled, levels = _peel(inner)
     release(inner)
-    roots = peeled.where("up is null and level is not null").select(F.col("node").alias("top"))
-    below = peeled.where("up is not null").select("node", "up")
-    climbed = cut(_climb(below, separator))
-    found = [cut(climbed.join(roots, "top").select("node", F.col("top").alias("root"), F.col("hops").alias("depth"), F.concat_ws(separator, F.col("top").cast("string"), "way").alias("path")))]
-    while not found[-1].isEmpty():
-        last = found[-1].withColumnsRenamed({"node": "top", "depth": "above"})
-        found.append(cut(climbed.join(last, "top").select("node", "root", (F.col("above") + F.col("hops")).alias("depth"), F.concat_ws(separator, "path", "way").alias("path"))))
-    found.append(roots.select(F.col("top").alias("node"), F.col("top").alias("root"), F.lit(0).alias("depth"), F.col("top").cast("string").alias("path")))
-    placed = reduce(DataFrame.unionByName, found)
+    ways = _ways(peeled, separator)
+    placed = peeled.where("up is null and level is not null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
+    for band in range((levels - 1) // ROUNDS_PER_JOB, -1, -1):
+        above = placed.select(F.col("node").alias("top"), "root", F.col("depth").alias("above"), "path")
+        found = ways.where(F.col("band") == band).join(above, "top")
+        placed = placed.unionByName(cut(found.select("node", "root", (F.col("above") + F.col("hops")).alias("depth"), F.concat_ws(separator, "path", "way").alias("path"))))
     return peeled.join(placed, "node", "left").select(
         "node", "up", "held", "level", F.coalesce("root", F.lit(-1)).alias("root"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("path", F.lit("")).alias("path")
     )

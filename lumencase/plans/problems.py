@@ -71,4 +71,20 @@ WITH RECURSIVE t AS (
   UNION ALL SELECT f.id, t.root_id, t.depth + 1, t.id_path || '/' || f.id FROM t JOIN files f ON f.container_id = t.id)
 SELECT f.id, coalesce(t.root_id, -1) AS root_id, CAST(coalesce(t.depth, -1) AS INT) AS depth, coalesce(t.id_path, '') AS id_path
 FROM files f LEFT JOIN t ON t.id = f.id WHERE f.container_id IS NOT NULL""",
+    "p6_holdings": """
+WITH RECURSIVE known AS (SELECT id FROM files), below AS (
+  SELECT container_id AS a, id FROM files WHERE container_id IN (FROM known) UNION SELECT f.container_id, b.id FROM below b JOIN files f ON f.id = b.a WHERE f.container_id IN (FROM known)),
+circle AS (SELECT a FROM below WHERE a = id), inner_ids AS (SELECT DISTINCT a FROM below),
+high AS (
+  SELECT a AS id, 1 AS h FROM inner_ids WHERE a NOT IN (FROM circle)
+  UNION SELECT f.container_id, h + 1 FROM high JOIN files f ON f.id = high.id WHERE f.container_id IN (FROM known) AND f.container_id NOT IN (FROM circle)),
+level AS (SELECT id, max(h) AS h FROM high GROUP BY 1), held AS (SELECT a, count(*) AS n FROM below GROUP BY 1),
+lost AS (SELECT a FROM circle UNION SELECT id FROM below WHERE a IN (FROM circle))
+SELECT i.a AS id, CASE WHEN l.h IS NOT NULL THEN held.n END AS n_held, CAST(l.h AS INT) AS peel_level, i.a IN (FROM lost) AS is_circular
+FROM inner_ids i JOIN held ON held.a = i.a LEFT JOIN level l ON l.id = i.a""",
+    "p6_descendants": """
+WITH RECURSIVE t AS (
+  SELECT id, [id] AS way FROM files WHERE container_id IS NULL OR container_id NOT IN (SELECT id FROM files)
+  UNION ALL SELECT f.id, list_append(t.way, f.id) FROM t JOIN files f ON f.container_id = t.id)
+SELECT way[i] AS ancestor_id, id, CAST(len(way) - i AS INT) AS steps FROM t, range(1, 1000) r(i) WHERE i < len(way)""",
 }
