@@ -1,14 +1,17 @@
 """Most similar vectors for every vector: a navigable small-world graph per shard, results merged.
 
-Routing. Centroids fitted on a bounded sample (``SAMPLE_ROWS`` vectors, a documented parameter) cut the
-collection into cells; every vector is indexed in the cell of its nearest centroid. A cell larger than
-``SHARD_ROWS`` (a face that a third of all rows show) is split into shards by a hash, so no task
-grows with a hot cell. A vector asks the shards of its own cell and of the ``PROBES`` nearest cells.
+Routing. Centroids cut the collection into cells; every vector is indexed in the cell of its nearest centroid
+and asks its own cell and the ``PROBES`` nearest others. Few centroids are fitted on one bounded sample
+(``SAMPLE_ROWS``); many are fitted in two steps, the second by one task per first-step cell on
+``FIT_ROWS`` vectors a centroid. A cell that holds more than ``SHARD_ROWS`` vectors (a face that a third of all
+rows show) is cut again by centroids of its own. What even these cannot part is split into shards by a hash,
+and wherever many vectors ask one cell they are split into parts, so neither index nor queries of a task grow.
 
 Index. ``SmallWorld`` is a hierarchical navigable small-world graph over one shard: random levels, on
 each level flat arrays of neighbour numbers, filled by inserting vectors in growing batches, each batch
 searching the graph of those before it. Neighbours are picked by the diversity rule with the closest
-filling up the rest. All searches of a batch run together as array operations.
+filling up the rest. A search enters by the top level, all of whose (about ``ENTRY`` at most) vectors are compared, and walks
+the levels below it. All searches of a batch run together as array operations.
 
 Copies. Vectors with the same direction are collapsed first: one representative is indexed, and a
 representative's copies are put back at the end by id order, so copies neither crowd the
@@ -27,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumencase.staging import cut, small_enough
+from lumencase.staging import cut, release, small_enough
 
 #: Vectors the centroids are fitted on at most; indexed vectors a shard has at most (about); other cells a vector asks.
 SAMPLE_ROWS, SHARD_ROWS, CELL_ROWS, PROBES = 8192, 32_768, 16_384, 2
+#: Centroids fitted at once at most; vectors a centroid is fitted on in a later step; times that cells too large are cut again; rows of a task that ask.
+FIT_CELLS, FIT_ROWS, CUTS, ASKING_ROWS = 128, 64, 3, 131_072
 #: Neighbours a vector keeps on the ground level and above; candidates while building and while searching.
 GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 20
 #: Neighbours a search returns beyond k; the vectors they are found for gain candidates the other way.
 SPARE = 6
-#: An upper level of so many vectors at most is compared whole.
-FLAT = 8192
+#: One vector in RISE rises a level, the top level has about ENTRY vectors at most; candidates carried down while an upper level is walked.
+RISE, ENTRY, EF_UPPER = 4, 2048, 16
 #: The step after which a search gives up that has met nothing within FLOOR_GAP of the similarity asked for.
-FLOOR_STEP, FLOOR_GAP = 4, 0.3
+FLOOR_STEP, FLOOR_GAP = 6, 0.3
 #: Centroids more similar than this are one: copies whose float32 directions differ in the last bits.
 SAME_CENTROID = 1 - 1e-5
 #: Cells at most: the centroid table stays under 16 MB of 128 numbers.
@@ -52,8 +57,9 @@ class SmallWorld:
         self.x = np.ascontiguousarray(x, dtype=np.float32)
         n = len(self.x)
         rng = np.random.default_rng(seed)
-        # one vector in four rises a level, as in a skip list
-        level = np.minimum(np.floor(-np.log(1.0 - rng.random(n)) / math.log(4)).astype(np.int64), 6)
+        # one vector in RISE rises a level, as in a skip list; the top level is the first that is small enough to enter by
+        top = max(1, math.ceil(math.log(max(n, 1) / ENTRY, RISE)))
+        level = np.minimum(np.floor(-np.log(1.0 - rng.random(n)) / math.log(RISE)).astype(np.int64), top)
         self.level = level
         self.neighbours: list[np.ndarray] = [np.full((n, GROUND if v == 0 else UPPER), -1, dtype=np.int32) for v in range(int(level.max(initial=0)) + 1)]
         self.closeness: list[np.ndarray] = [np.full(a.shape, -np.inf, dtype=np.float32) for a in self.neighbours]
@@ -75,11 +81,11 @@ class SmallWorld:
         within = q @ q.T
         np.fill_diagonal(within, -np.inf)
         for level in range(len(self.neighbours) - 1, -1, -1):
-            if start and not (self._skips(level) and not (self.level[start:end] >= level).any()):
-                ids, sims = self._search_level(q, level, entry, EF_BUILD)
+            here = self.level[start:end] >= level
+            if start:
+                ids, sims = self._search_level(q, level, entry, EF_BUILD if here.any() else EF_UPPER)
                 if ids is not None:
                     entry, beam = ids, sims
-            here = self.level[start:end] >= level
             if not here.any():
                 continue
             rows = np.flatnonzero(here)
@@ -143,20 +149,16 @@ class SmallWorld:
         n = self._top(level)
         if not n:
             return None, None
-        if level and n <= FLAT:
-            # an upper level this small is compared whole, by one block product: cheaper than walking it
+        if level and entry is None:
+            # the top level gives the entry points: all its vectors are compared, by one block product
             sims = q @ self.x[:n].T
             m = min(ef, n)
             ids = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int32)
             return ids, np.take_along_axis(sims, ids, axis=1)
-        if entry is None:
+        if entry is None:  # nothing stands on the top level yet
             entry = np.broadcast_to(np.arange(min(n, 32), dtype=np.int32), (len(q), min(n, 32)))
         return self._beam(q, level, entry, ef, n, floor)
 
-    def _skips(self, level: int) -> bool:
-        """Whether a search needs nothing from this level because the one below it is compared whole."""
-        return level > 1 and 0 < self._top(level - 1) <= FLAT
-
     def _beam(self, q: np.ndarray, level: int, entry: np.ndarray, ef: int, n: int, floor: float | None = None, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries together; each step opens the ``at_once`` best unopened of each.
 
@@ -209,9 +211,7 @@ class SmallWorld:
         for at in range(0, len(q), batch):
             part, entry, sims = np.ascontiguousarray(q[at : at + batch], dtype=np.float32), None, None
             for level in range(len(self.neighbours) - 1, -1, -1):
-                if self._skips(level):
-                    continue
-                ids, got = self._search_level(part, level, entry, max(ef, k) if level == 0 else EF_SEARCH, floor if level == 0 else None)
+                ids, got = self._search_level(part, level, entry, max(ef, k) if level == 0 else EF_UPPER, floor if level == 0 else None)
                 if ids is not None:
                     entry, sims = ids, got
             best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
@@ -246,18 +246,17 @@ def _flat(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, size)
-
+    """The vectors of a binary column without nulls, read from its buffer."""
+    parts = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.float32, count=(ends[-1] - ends[0]) // 4, offset=int(ends[0])).reshape(-1, size))
+    return np.concatenate(parts) if parts else np.empty((0, size), dtype=np.float32)
 
-def centroids(vectors: DataFrame, cells: int, size: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 6) -> np.ndarray:
-    """At most ``cells`` unit centroids by spherical k-means over a bounded sample: the vectors with the smallest id hashes.
 
-    Of equal centroids one is kept: a vector that asks cells of the same direction would meet none beyond them.
-    """
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()
-    x = _matrix(sample["v"], size)
-    if not len(x):
-        return np.zeros((1, size), dtype=np.float32)
+def _fit(x: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
+    """At most ``cells`` unit centroids of distinct directions by spherical k-means."""
     x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
     c = x[:: max(1, len(x) // cells)][:cells].copy()
     for _ in range(rounds):
@@ -266,10 +265,69 @@ def centroids(vectors: DataFrame, cells: int, size: int, sample_rows: int = SAMP
         np.add.at(total, home, x)
         norm = np.linalg.norm(total, axis=1)
         c = np.where((norm > 0)[:, None], total / np.maximum(norm, 1e-30)[:, None], c).astype(np.float32)
+    return c
+
+
+def _distinct(c: np.ndarray) -> np.ndarray:
+    """Of equal centroids one: a vector that asks cells of the same direction would meet none beyond them."""
     again = [(np.tril(c[at : at + 1024] @ c.T, at - 1) > SAME_CENTROID).any(axis=1) for at in range(0, len(c), 1024)]
     return c[~np.concatenate(again)]
 
 
+def _refit(vectors: DataFrame, c: np.ndarray, wanted: dict[int, tuple[int, int]], size: int) -> np.ndarray:
+    """The centroids with those in ``wanted`` (cell -> (its vectors, centroids it shall have)) replaced by ones fitted in the cell.
+
+    Each cell is fitted by one task on about FIT_ROWS vectors a centroid, FIT_CELLS * FIT_ROWS at most, picked by their ids' hashes.
+    """
+    rows = [(cell, min(1.0, FIT_ROWS * k / n), k) for cell, (n, k) in wanted.items()]
+    asked = vectors.sparkSession.createDataFrame(rows, "cell int, share double, k int")
+    homes = _route(vectors, c, size, 0).join(F.broadcast(asked), "cell")  # at most MAX_CELLS rows
+    picked = homes.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("cell", "id", "v", "k")
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _matrix(table["v"], size)[np.argsort(table["id"].to_numpy(), kind="stable")]
+        found = _fit(x, table["k"][0].as_py())
+        return pa.table({"cell": pa.array([table["cell"][0].as_py()] * len(found), pa.int32()), "v": pa.array([r.tobytes() for r in found], pa.binary())})
+
+    made = picked.groupBy("cell").applyInArrow(fit, "cell int, v binary").orderBy("cell", "v").toArrow()  # at most MAX_CELLS centroids
+    kept = np.ones(len(c), dtype=bool)
+    kept[np.unique(made["cell"].to_numpy())] = False
+    return _distinct(np.concatenate([c[kept], _matrix(made["v"], size)]))
+
+
+def centroids(vectors: DataFrame, cells: int, size: int) -> np.ndarray:
+    """About ``cells`` unit centroids fitted on a bounded share of the vectors, those with the smallest id hashes."""
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()
+    x = _matrix(sample["v"], size)
+    if not len(x):
+        return np.zeros((1, size), dtype=np.float32)
+    if cells <= FIT_CELLS:
+        return _distinct(_fit(x, cells))
+    c = _distinct(_fit(x, min(FIT_CELLS, math.ceil(math.sqrt(cells)))))
+    sizes = {cell: n for cell, (n, _) in _sizes(_route(vectors, c, size, 0)).items()}
+    whole = sum(sizes.values())
+    return _refit(vectors, c, {cell: (n, min(FIT_CELLS, -(-cells * n // whole))) for cell, n in sizes.items()}, size)
+
+
+def _sizes(routed: DataFrame) -> dict[int, tuple[int, int]]:
+    """cell -> (vectors that live there, vectors that ask it): at most MAX_CELLS rows."""
+    return {r["cell"]: (r["n"], r["asking"]) for r in routed.groupBy("cell").agg(F.count_if("home").alias("n"), F.count("*").alias("asking")).collect()}
+
+
+def _cells(vectors: DataFrame, cells: int, size: int, probes: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """The centroids, cells that came out too large cut again, and the sizes of the cells."""
+    c = centroids(vectors, cells, size)
+    for cuts in range(CUTS + 1):
+        sizes = _sizes(_route(vectors, c, size, probes))
+        large = {cell: (n, min(FIT_CELLS, -(-n // CELL_ROWS))) for cell, (n, _) in sizes.items() if n > SHARD_ROWS}
+        if not large or cuts == CUTS or len(c) + sum(k for _, k in large.values()) > MAX_CELLS:
+            return c, sizes
+        again = _refit(vectors, c, large, size)
+        if len(again) == len(c):
+            return c, sizes
+        c = again
+
+
 def _route(vectors: DataFrame, c: np.ndarray, size: int, probes: int) -> DataFrame:
     """id, v, cell, home: each vector once for its own cell and once for each near cell it asks."""
 
@@ -295,13 +353,14 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     Only similarities of at least ``min_similarity`` are returned, and a
     search that meets nothing near them gives up early. Repeated rows of one id count once; null, short, non-finite and zero vectors are left out; fewer than two give no rows.
     """
-    unit = unit_vectors(rows, id, vector, size)
+    unit = cut(unit_vectors(rows, id, vector, size))
     # copies of a direction: only the smallest id is indexed, the others come back at the end
     keyed = unit.select("id", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
     copies = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    n_copies, total = copies.count(), rows.count()  # the number of rows bounds that of usable vectors and costs no pass over them
+    n_copies, total = copies.count(), unit.count()
     members = keyed.join(F.broadcast(copies) if small_enough(n_copies, 40) else copies, ["k1", "k2"]).select("id", "rep").distinct()
     members = cut(members) if n_copies else None
+    release(copies)
     # a repeated row of one id is a copy of itself: the id stays once
     extra = members.where("id != rep").select("id") if n_copies else None
     n_extra = extra.count() if n_copies else 0
@@ -309,19 +368,18 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     if n_copies:
         indexed = unit.join(F.broadcast(extra) if small_enough(n_extra, 24) else extra, "id", "left_anti")
     cells = int(min(MAX_CELLS, max(1, -(-(total - n_extra) // CELL_ROWS))))  # of the vectors indexed, as the centroids are
-    c = centroids(indexed, cells, size)
+    c, sizes = _cells(indexed, cells, size, probes)
     routed = _route(indexed, c, size, probes)
-    # cells that are too large for one task are split by a hash; every query of such a cell asks all its shards
-    sizes = routed.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    split = {r["cell"]: int(-(-r["n"] // SHARD_ROWS)) for r in sizes.collect()}  # at most MAX_CELLS numbers
-    shards = F.lit(1)
+    # a cell that is still too large for one task is split by a hash into shards, all of which its queries ask in parts
+    split = [(cell, -(-n // SHARD_ROWS), max(-(-n // SHARD_ROWS), -(-asking // ASKING_ROWS))) for cell, (n, asking) in sizes.items() if n > SHARD_ROWS or asking > ASKING_ROWS]
     if split:
-        parts = F.create_map(*[F.lit(x) for pair in split.items() for x in pair])
-        shards = F.coalesce(F.element_at(parts, F.col("cell")), F.lit(1))
-    own = F.pmod(F.xxhash64("id"), shards).cast("int")
-    asked = F.explode(F.sequence(F.lit(0), shards - 1))
-    routed = routed.withColumn("own", own).select("id", "v", "cell", "home", "own", asked.alias("shard"))
-    routed = routed.select("id", "v", "cell", "shard", (F.col("home") & (F.col("own") == F.col("shard"))).alias("indexed"))
+        splits = rows.sparkSession.createDataFrame(split, "cell int, shards int, parts int")
+        routed = routed.join(F.broadcast(splits), "cell", "left").withColumns({"shards": F.coalesce("shards", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})  # at most MAX_CELLS rows
+        routed = routed.withColumns({"own": F.pmod(F.xxhash64("id"), F.col("shards")), "asks": F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts"))})
+        routed = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        routed = routed.select("id", "v", "cell", "shard", "part", (F.col("home") & (F.col("own") == F.col("shard"))).alias("indexed"), (F.col("asks") == F.col("part")).alias("asks")).where("indexed or asks")
+    else:
+        routed = routed.select("id", "v", "cell", F.lit(0).alias("shard"), F.lit(0).alias("part"), F.col("home").alias("indexed"), F.lit(True).alias("asks"))
 
     def shard(table: pa.Table) -> pa.Table:
         ids, x, base = table["id"].to_numpy(), _matrix(table["v"], size), table["indexed"].to_numpy()
@@ -329,22 +387,23 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
         # a repeated row of an id is indexed once
         pos = np.flatnonzero(base)
         pos = pos[np.unique(ids[pos], return_index=True)[1]]
-        if len(pos):
+        asking = np.flatnonzero(table["asks"].to_numpy())
+        if len(pos) and len(asking):
             graph = SmallWorld(x[pos])
-            for at in range(0, len(x), 4096):
-                part = slice(at, at + 4096)
+            for at in range(0, len(asking), 4096):
+                part = asking[at : at + 4096]
                 near, sims = graph.search(x[part], k + SPARE, floor=min_similarity - FLOOR_GAP if min_similarity > 0 else None)
                 r, s = np.nonzero((near >= 0) & (sims >= min_similarity - 1e-4))
-                found = pos[near[r, s]]
-                keep = ids[at + r] != ids[found]
-                r, found = r[keep] + at, found[keep]
+                found, r = pos[near[r, s]], part[r]
+                keep = ids[r] != ids[found]
+                r, found = r[keep], found[keep]
                 a, b = x[r].astype(np.float64), x[found].astype(np.float64)
                 exact = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
                 got_id.append(ids[r]), got_other.append(ids[found]), got_sim.append(exact)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"id": pa.array(join(got_id, np.int64)), "other": pa.array(join(got_other, np.int64)), "similarity": pa.array(join(got_sim, np.float64))})
 
-    met = routed.groupBy("cell", "shard").applyInArrow(shard, "id long, other long, similarity double")
+    met = routed.groupBy("cell", "shard", "part").applyInArrow(shard, "id long, other long, similarity double")
     # what one vector's search found of another holds the other way too
     met = met.where(F.col("similarity") >= min_similarity)
     met = met.select(F.explode(F.array(F.struct("id", "other", "similarity"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))).alias("m")).select("m.*")
@@ -380,7 +439,7 @@ def similar_pairs(rows: DataFrame, k: int = 10, min_similarity: float = 0.70, **
     return kept.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def recall_report(rows: DataFrame, k: int = 10, min_similarity: float = 0.70, every: int = 100, id: str = "id", vector: str = "embedding", size: int = 128) -> DataFrame:
+def recall_report(rows: DataFrame, k: int = 10, min_similarity: float = 0.70, every: int = 20, id: str = "id", vector: str = "embedding", size: int = 128) -> DataFrame:
     """One row: queries, true_neighbours, missed, recall against brute force.
 
     The queries are all vectors whose id is divisible by ``every``; each is compared with every vector, in blocks,

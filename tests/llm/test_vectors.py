@@ -59,6 +59,18 @@ def test_pairs_against_brute_force_over_split_cells(spark, monkeypatch):
     assert len(got - want) <= 0.05 * len(want)
 
 
+def test_centroids_in_two_steps_a_hot_cell_cut_again_and_queries_in_parts(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 100), ("SHARD_ROWS", 120), ("FIT_CELLS", 4), ("FIT_ROWS", 32), ("ASKING_ROWS", 150)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(8)
+    # a third of the rows is one dense cloud that no centroid can part well
+    x = np.vstack([people(900, 128, 6), np.eye(128)[0] + 0.02 * rng.normal(size=(450, 128))]).astype(np.float32)
+    ids = list(range(1350))
+    got = {tuple(r) for r in similar_pairs(table(spark, zip(ids, x.tolist(), strict=True)), 10, 0.7).collect()}
+    want = brute(ids, x, 10, 0.7)
+    assert len(got & want) >= 0.85 * len(want)  # cells of a hundred vectors, far smaller than in use
+
+
 def test_copies_rank_by_id_and_none_is_lost(spark):
     a, b = np.eye(128)[0], np.eye(128)[0] * 0.9 + np.eye(128)[1] * 0.1
     rows = [(i, (a * (1 + i)).tolist()) for i in range(1, 31)] + [(100, b.tolist())]
