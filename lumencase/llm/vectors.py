@@ -10,8 +10,8 @@ and wherever many vectors ask one cell they are split into parts, so neither ind
 Index. ``SmallWorld`` is a hierarchical navigable small-world graph over one shard: random levels, on
 each level flat arrays of neighbour numbers, filled by inserting vectors in growing batches, each batch
 searching the graph of those before it. Neighbours are picked by the diversity rule with the closest
-filling up the rest. A search enters by the top level, all of whose (about ``ENTRY`` at most) vectors are compared, and walks
-the levels below it. All searches of a batch run together as array operations.
+filling up the rest. A search enters by the top level, all of whose (about ``ENTRY`` at most) vectors are compared in one
+product, and walks the levels below it. All searches of a batch run together as array operations.
 
 Copies. Vectors with the same direction are collapsed first: one representative is indexed, and a
 representative's copies are put back at the end by id order, so copies neither crowd the
@@ -41,9 +41,9 @@ GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 20
 #: Neighbours a search returns beyond k; the vectors they are found for gain candidates the other way.
 SPARE = 6
 #: One vector in RISE rises a level, the top level has about ENTRY vectors at most; candidates carried down while an upper level is walked.
-RISE, ENTRY, EF_UPPER = 4, 2048, 16
+RISE, ENTRY, EF_UPPER = 8, 4096, 8
 #: The step after which a search gives up that has met nothing within FLOOR_GAP of the similarity asked for.
-FLOOR_STEP, FLOOR_GAP = 6, 0.3
+FLOOR_STEP, FLOOR_GAP = 4, 0.3
 #: Centroids more similar than this are one: copies whose float32 directions differ in the last bits.
 SAME_CENTROID = 1 - 1e-5
 #: Cells at most: the centroid table stays under 16 MB of 128 numbers.
@@ -295,9 +295,11 @@ def _refit(vectors: DataFrame, c: np.ndarray, wanted: dict[int, tuple[int, int]]
     return _distinct(np.concatenate([c[kept], _matrix(made["v"], size)]))
 
 
-def centroids(vectors: DataFrame, cells: int, size: int) -> np.ndarray:
-    """About ``cells`` unit centroids fitted on a bounded share of the vectors, those with the smallest id hashes."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()
+def centroids(vectors: DataFrame, cells: int, size: int, total: int) -> np.ndarray:
+    """About ``cells`` unit centroids fitted on a bounded share of the ``total`` vectors, picked by their ids' hashes."""
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    share = min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1))  # so that no partition sorts and sends more than its part
+    sample = vectors.where(order < share * (1 << 40)).orderBy(order, "id").limit(SAMPLE_ROWS).select("v").toArrow()
     x = _matrix(sample["v"], size)
     if not len(x):
         return np.zeros((1, size), dtype=np.float32)
@@ -314,9 +316,9 @@ def _sizes(routed: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["cell"]: (r["n"], r["asking"]) for r in routed.groupBy("cell").agg(F.count_if("home").alias("n"), F.count("*").alias("asking")).collect()}
 
 
-def _cells(vectors: DataFrame, cells: int, size: int, probes: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+def _cells(vectors: DataFrame, cells: int, size: int, probes: int, total: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     """The centroids, cells that came out too large cut again, and the sizes of the cells."""
-    c = centroids(vectors, cells, size)
+    c = centroids(vectors, cells, size, total)
     for cuts in range(CUTS + 1):
         sizes = _sizes(_route(vectors, c, size, probes))
         large = {cell: (n, min(FIT_CELLS, -(-n // CELL_ROWS))) for cell, (n, _) in sizes.items() if n > SHARD_ROWS}
@@ -368,7 +370,7 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     if n_copies:
         indexed = unit.join(F.broadcast(extra) if small_enough(n_extra, 24) else extra, "id", "left_anti")
     cells = int(min(MAX_CELLS, max(1, -(-(total - n_extra) // CELL_ROWS))))  # of the vectors indexed, as the centroids are
-    c, sizes = _cells(indexed, cells, size, probes)
+    c, sizes = _cells(indexed, cells, size, probes, total - n_extra)
     routed = _route(indexed, c, size, probes)
     # a cell that is still too large for one task is split by a hash into shards, all of which its queries ask in parts
     split = [(cell, -(-n // SHARD_ROWS), max(-(-n // SHARD_ROWS), -(-asking // ASKING_ROWS))) for cell, (n, asking) in sizes.items() if n > SHARD_ROWS or asking > ASKING_ROWS]
