@@ -383,6 +383,10 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     else:
         routed = routed.select("id", "v", "cell", F.lit(0).alias("shard"), F.lit(0).alias("part"), F.col("home").alias("indexed"), F.lit(True).alias("asks"))
 
+    # each group is a task's worth of work whatever its bytes, so the tasks are not merged
+    groups = len(sizes) + sum(shards * parts for _, shards, parts in split)
+    routed = routed.repartition(max(4 * groups, rows.sparkSession.sparkContext.defaultParallelism), "cell", "shard", "part")
+
     def shard(table: pa.Table) -> pa.Table:
         ids, x, base = table["id"].to_numpy(), _matrix(table["v"], size), table["indexed"].to_numpy()
         got_id, got_other, got_sim = [], [], []
