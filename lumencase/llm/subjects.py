@@ -39,6 +39,9 @@ MIN_TERMS = 4
 #: and the share of a sentence's terms that must be verified for its subject.
 SHRINK, PURE, LEAD, COVER = 4.0, 0.4, 1.5, 0.2
 
+#: Sentence types whose terms a task remembers to have given.
+REMEMBERED = 500_000
+
 _SPLIT = re.compile(r"(?<=[.!?])[\"'»”*)\]]*\s+")
 _TOKEN = re.compile(r"\S*\d\S*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -64,19 +67,34 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def sentence_type(sentence: str) -> tuple[str, list[str]]:
-    """(the type's text, its terms): lower case, numbers and inner names masked, the first word left out."""
-    masked, plain = [], []
-    for i, w in enumerate(_TOKEN.findall(sentence.replace("*", ""))):
-        if not i:
-            continue
-        mask = NUMBER if any(c.isdigit() for c in w) else NAME if w[0].isupper() and not w.isupper() else w.lower()
-        if not (masked and mask == masked[-1] and mask in (NAME, NUMBER)):
+def _masked(sentence: str) -> tuple[str, list[str]]:
+    """(the type's text, its plain words): lower case, numbers and inner names masked, the first word left out."""
+    masked, plain, last = [], [], ""
+    for w in _TOKEN.findall(sentence.replace("*", ""))[1:]:
+        if w.islower() and w.isalpha():
+            mask = word = w
+        elif any(map(str.isdigit, w)):
+            mask = word = NUMBER
+        else:
+            word = w.lower()
+            mask = NAME if w[0].isupper() and not w.isupper() else word
+        if mask != last or mask not in (NAME, NUMBER):
             masked.append(mask)
-        plain.append(NUMBER if mask == NUMBER else w.lower())
+        last = mask
+        plain.append(word)
+    return " ".join(masked), plain
+
+
+def _terms(plain: list[str]) -> list[str]:
     terms = {w for w in plain if len(w) > 3}
     terms.update(f"{a} {b}" for a, b in zip(plain, plain[1:], strict=False) if NUMBER not in (a, b))
-    return " ".join(masked), sorted(terms)
+    return sorted(terms)
+
+
+def sentence_type(sentence: str) -> tuple[str, list[str]]:
+    """(the type's text, its terms: words of more than three letters and pairs of words)."""
+    key, plain = _masked(sentence)
+    return key, _terms(plain)
 
 
 @lru_cache(maxsize=1 << 17)
@@ -88,21 +106,25 @@ _LINKS = "owner long, kind long, n int, terms array<long>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """owner, kind (sentence type), n, terms (only where the type is met first in the batch)."""
+    """owner, kind (sentence type), n, terms (only where the type is met first in the task, as far as it remembers)."""
+    met: set[int] = set()
     for batch in sliced(batches):
-        rows, met = [], {}
+        rows = []
+        if len(met) > REMEMBERED:
+            met.clear()
         for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own: dict[int, int] = {}
+            own: dict[int, list] = {}
             for s in sentences(text):
-                key, terms = sentence_type(s)
-                if not terms:
-                    continue
+                key, plain = _masked(s)
                 k = _number(key)
-                own[k] = own.get(k, 0) + 1
-                met.setdefault(k, terms)
-            for k, n in own.items():
-                terms, met[k] = met[k], None
-                rows.append((owner, k, n, None if terms is None else [_number(t) for t in terms]))
+                if k in own:
+                    own[k][0] += 1
+                elif k in met:
+                    own[k] = [1, None]
+                elif terms := _terms(plain):
+                    met.add(k)
+                    own[k] = [1, [_number(t) for t in terms]]
+            rows += [(owner, k, n, terms) for k, (n, terms) in own.items()]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["owner", "kind", "n", "terms"])
 
