@@ -121,7 +121,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     placed = cut(placed.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_TOKENS).cast("long")).select("doc_id", "source", "tokens", "shard", "block"))
     blocks = cut(placed.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     wanted["tokens"] = [int(totals.get(s) or 0) for s in wanted["source"]]
-    wanted["caps"] = wanted["tokens"] * wanted["repeats"].clip(lower=0) // BLOCK_TOKENS
+    wanted["caps"] = -(-wanted["tokens"] * wanted["repeats"].clip(lower=0) // BLOCK_TOKENS)  # a source of less than a block still has one
     if total_tokens is not None:
         seats = round(total_tokens / BLOCK_TOKENS)
     else:

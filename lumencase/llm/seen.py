@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumencase.staging import cut
+from lumencase.staging import cut, small_enough
 
 #: Fixed value: the MD5 of empty content.
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
@@ -141,16 +141,20 @@ def seen_before(arrivals: DataFrame, known: list[DataFrame], key: Column, id: st
     truth in the column ``seen``) and ``rows`` (all rows with a key).
     """
     rows, refs = _parts(arrivals, known, id, key, at)
-    counted = rows.groupBy("key").agg(F.count("*").alias("n")).select("key", F.least("n", F.lit(2)).cast("int").alias("arrivals"))
-    keys = counted if refs is None else counted.unionByName(refs.select("key", F.lit(2).alias("arrivals")))
+    keys = rows.select("key", F.lit(1).alias("arrivals"))
+    keys = keys if refs is None else keys.unionByName(refs.select("key", F.lit(2).alias("arrivals")))
     found = build(keys, fp_bits)
     valued = rows.withColumn("value", found.reduced(F.col("key")))
     hits = cut(probe(found, valued.select("value").distinct()).where("times > 1").select("value"))
-    maybe = valued.join(hits, "value").select("id", F.coalesce("at", F.lit(float("inf"))).alias("at"), "key")
+    n_hits = hits.count()
+    near = F.broadcast(hits) if small_enough(n_hits, 16) else hits
+    maybe = valued.join(near, "value").select("id", F.coalesce("at", F.lit(float("inf"))).alias("at"), "key")
     # whole keys settle the rows that may have been seen
     first = maybe.groupBy("key").agg(F.min(F.struct("at", "id")).alias("first"))
     if refs is not None:
-        first = first.unionByName(refs.distinct().select("key", F.lit(None).cast(first.schema["first"].dataType).alias("first")))
+        # of the earlier keys only those whose reduced value was probed and hit are read whole
+        refs = refs.withColumn("value", found.reduced(F.col("key"))).join(near, "value", "left_semi").select("key").distinct()
+        first = first.unionByName(refs.select("key", F.lit(None).cast(first.schema["first"].dataType).alias("first")))
     first = first.groupBy("key").agg(F.max("first").alias("first"), F.count("*").alias("parts"), F.count("first").alias("own")).where("own > 0")
     settled = maybe.join(first.select("key", "first", (F.col("parts") > F.col("own")).alias("listed")), "key")
     settled = settled.select("id", (F.col("listed") | (F.struct("at", "id") > F.col("first"))).alias("seen"), "listed")
@@ -164,7 +168,7 @@ def found_ids(arrivals: DataFrame, known: list[DataFrame], key: Column, **names)
 
 def error_report(arrivals: DataFrame, known: list[DataFrame], key: Column, **names) -> DataFrame:
     """One row: rows_with_key, keys_in_set, said_seen, truly_seen, first_of_a_repeated_key, wrong_answers,
-    audited_rate and theoretical_rate; bytes_coded of the set.
+    audited_rate with its 95 % bounds (Wilson) and theoretical_rate; bytes_coded of the set.
 
     A wrong answer is a row said to be seen whose whole key is on no other row and in no list; the
     set never says 'new' of a seen key. The audited rate is over the rows whose key is new.
@@ -174,11 +178,14 @@ def error_report(arrivals: DataFrame, known: list[DataFrame], key: Column, **nam
     per_key = got["rows"].groupBy("key").agg(F.count("*").alias("n"))
     said = got["maybe"].agg(F.count("*").alias("said_seen"), F.count_if("seen").alias("truly_seen"))
     once = cut(got["maybe"].where("not seen").select("id").join(got["rows"].select("id", "key"), "id").join(per_key, "key").groupBy().agg(F.count_if(F.col("n") == 1).alias("wrong_answers"), F.count_if(F.col("n") > 1).alias("first_of_a_repeated_key")))
+    new, z = F.greatest(F.col("rows_with_key") - F.col("truly_seen") - F.col("first_of_a_repeated_key"), F.lit(1)), 1.959964
+    rate = F.col("wrong_answers") / new
+    middle, half = rate + z * z / (2 * new), z * F.sqrt(rate * (1 - rate) / new + z * z / (4 * new * new))
     total = got["rows"].agg(F.count("*").alias("rows_with_key"))
     size = found.blocks.agg(F.sum("n").alias("values_coded"), F.sum(F.length("code")).alias("bytes_coded"))
     return (
         total.crossJoin(said).crossJoin(once).crossJoin(size)
         .withColumn("keys_in_set", F.lit(found.keys))
-        .withColumn("audited_rate", F.col("wrong_answers") / F.greatest(F.col("rows_with_key") - F.col("truly_seen") - F.col("first_of_a_repeated_key"), F.lit(1)))
+        .withColumn("audited_rate", rate).withColumn("audited_low", (middle - half) / (1 + z * z / new)).withColumn("audited_high", (middle + half) / (1 + z * z / new))
         .withColumn("theoretical_rate", F.lit(found.theoretical_fp))
     )
