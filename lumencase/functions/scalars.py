@@ -71,26 +71,24 @@ def kind_of_mime(ext: Column | str, mime: Column | str) -> Column:
     return F.when(by_ext != "other", by_ext).when(m.startswith("video/"), "video").when(m.startswith("image/"), "image").otherwise("other")
 
 
-#: Leading bytes (hex, from an offset in bytes) and the kind they show, in the order they are tried.
-MAGIC = [
-    (0, "4C5A4300", "archive"), (0, "434D4D4D", "archive"), (0, "504B0304", "archive"), (0, "504B0506", "archive"), (0, "1F8B", "archive"),
-    (0, "425A68", "archive"), (0, "FD377A585A00", "archive"), (0, "377ABCAF271C", "archive"), (0, "52617221", "archive"), (0, "FFD8FF", "image"),
-    (0, "89504E470D0A1A0A", "image"), (0, "474946383761", "image"), (0, "474946383961", "image"), (0, "424D", "image"), (0, "49492A00", "image"),
-    (0, "4D4D002A", "image"), (0, "0000000C6A5020200D0A870A", "image"), (0, "FF4FFF51", "image"), (0, "1A45DFA3", "video"), (0, "464C56", "video"),
-]
+#: Leading bytes (hex) by the kind they show; brands (hex) of RIFF forms and of ISO base media files, the rest of which are other and video.
+LEADING_BYTES = {
+    "archive": "4C5A4300 434D4D4D 504B0304 504B0506 1F8B 425A68 FD377A585A00 377ABCAF271C 52617221".split(),
+    "image": "FFD8FF 89504E470D0A1A0A 474946383761 474946383961 424D 49492A00 4D4D002A 0000000C6A5020200D0A870A FF4FFF51".split(),
+    "video": "1A45DFA3 464C56".split(),
+}
+RIFF_FORMS = {"WEBP": "image", "AVI ": "video"}
+ISO_BRANDS = {b: "image" for b in "heic heix heim heis hevc hevx hevm hevs mif1 mif2 msf1 miaf MiHE avif avis".split()} | {b: "other" for b in ("M4A ", "M4B ", "M4P ")}
 
 
 def sniff_kind(content: Column | str) -> Column:
     """image, video, archive or other from the first 16 bytes."""
-    head = F.hex(F.substring(_c(content), 1, 16))
-    out = None
-    for at, magic, kind in MAGIC:
-        test = F.substring(head, 1 + 2 * at, len(magic)) == magic
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    form, brand = F.substring(head, 17, 8), F.substring(head, 17, 4)
-    riff = F.when(form == "57454250", "image").when(form.isin("41564920", "41564900"), "video").otherwise("other")
-    iso = F.when(brand.isin("6865", "6D69", "6D73") | form.isin("61766966", "61766973"), "image").when(form.isin("4D344120", "4D344220", "4D345020"), "other").otherwise("video")
-    return out.when(F.substring(head, 1, 8) == "52494646", riff).when(F.substring(head, 9, 8) == "66747970", iso).otherwise("other")
+    head = F.substring(_c(content), 1, 16)
+    first, name = F.hex(head), F.decode(F.substring(head, 9, 4), "ISO-8859-1")
+    kind_of = lambda names: F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), name)
+    by_bytes = [F.when(F.greatest(*[first.startswith(x).cast("int") for x in found]) == 1, kind) for kind, found in LEADING_BYTES.items()]
+    boxed = F.when(F.substring(head, 1, 4) == F.lit(b"RIFF"), F.coalesce(kind_of(RIFF_FORMS), F.lit("other"))).when(F.substring(head, 5, 4) == F.lit(b"ftyp"), F.coalesce(kind_of(ISO_BRANDS), F.lit("video")))
+    return F.coalesce(*by_bytes, boxed, F.lit("other"))
 
 
 def valid_place(lat: Column, lon: Column) -> Column:
@@ -160,30 +158,98 @@ def storable(algo: Column, value: Column) -> Column:
     return F.when(a == "photodna", F.when(v != "", v)).when(fine, low)
 
 
-#: Spellings of one stored file in order of preference: storage class, pattern, and the group with the user number (0: none).
-STORAGE_VIEWS = [
-    ("ce", r"(^|/)data/data/", 0), ("de", r"(^|/)data/user_de/(\d+)/", 2), ("ce", r"(^|/)data/user/(\d+)/", 2),
-    ("ce", r"(^|/)data_mirror/data_ce/[^/]+/(\d+)/", 2), ("de", r"(^|/)data_mirror/data_de/[^/]+/(\d+)/", 2),
-    ("media", r"(^|/)data/media/(\d+)/", 2), ("media", r"(^|/)storage/emulated/(\d+)/", 2),
-    ("media", r"(^|/)mnt/user/(\d+)/emulated/\d+/", 2), ("media", r"(^|/)sdcard/", 0),
-]
+#: Folders under which one stored file may appear (# is the user's number) and the class of storage, in order of preference.
+STORAGE_VIEWS = {
+    "data/data": "ce", "data/user_de/#": "de", "data/user/#": "ce", "data_mirror/data_ce/*/#": "ce", "data_mirror/data_de/*/#": "de",
+    "data/media/#": "media", "storage/emulated/#": "media", "mnt/user/#/emulated/#": "media", "sdcard": "media",
+}
 
 
 def storage_view(path: Column) -> Column:
-    """struct(key, rank) of a path under a storage view: spellings of one file share the key. Else null."""
+    """struct(prefix, storage, user, rest, rank) of a path below such a folder, else null; spellings of one file agree in all but rank.
+
+    The folder nearest the beginning counts.
+    """
+    shapes = "|".join(v.replace("*", "[^/]+").replace("#", r"\d+") for v in sorted(STORAGE_VIEWS, key=len, reverse=True))
+    whole = f"^((?:.*?/)?)({shapes})/(.*)$"
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    out = None
-    for rank, (kind, pattern, user) in enumerate(STORAGE_VIEWS):
-        who = F.regexp_extract(p, pattern, user) if user else F.lit("0")
-        begin = F.regexp_instr(p, F.lit(pattern))
-        found = F.regexp_extract(p, f"({pattern})", 1)
-        head = F.concat(p.substr(F.lit(1), begin - 1), F.regexp_extract(p, pattern, 1))
-        rest = p.substr(begin + F.length(found), F.length(p))
-        value = F.struct(F.concat(head, F.lit("|"), F.lit(kind), F.lit(":"), who, F.lit("|/"), rest).alias("key"), F.lit(rank).alias("rank"))
-        out = F.when(p.rlike(pattern), value) if out is None else out.when(p.rlike(pattern), value)
+    prefix, folder, rest = (F.regexp_extract(p, whole, i) for i in (1, 2, 3))
+    volumeless = F.regexp_replace(folder, "^(data_mirror/[^/]+)/[^/]+/", "$1/*/")
+    shape = F.regexp_replace(volumeless, r"/\d+(?=/|$)", "/#")
+    user = F.regexp_extract(volumeless, r"/(\d+)(?=/|$)", 1)
+    named = F.create_map(*[x for i, (v, c) in enumerate(STORAGE_VIEWS.items()) for x in (F.lit(v), F.struct(F.lit(c).alias("storage"), F.lit(i).alias("rank")))])
+    of = F.element_at(named, shape)
+    return F.when(folder != "", F.struct(prefix.alias("prefix"), of["storage"].alias("storage"), F.when(user == "", "0").otherwise(user).alias("user"), rest.alias("rest"), of["rank"].alias("rank")))
+
+
+#: Folders of the system's and applications' own artwork, as LIKE patterns over the path in lower case with slashes.
+SYSTEM_FOLDERS = ("%/windows/%", "%/program files%", "%/programdata/%", "%/system/library/%", "%/applications/%.app/%")
+
+
+def is_system_path(path: Column) -> Column:
+    p = F.replace(F.lower(F.coalesce(path, F.lit(""))), F.lit("\\"), F.lit("/"))
+    out = F.lit(False)
+    for pattern in SYSTEM_FOLDERS:
+        out = out | p.like(pattern)
     return out
 
 
+def tri_state(text: Column) -> Column:
+    """true or 1, false or 0 (in any case, white space round them ignored) as a boolean, anything else as null."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False)
+
+
+def pack_flags(*flags: Column) -> Column:
+    """Up to eight three-valued flags as one number: bit i says that flag i is there, bit 8 + i that it is true; null if none is."""
+    bits = [F.when(f.isNull(), 0).when(f, (1 << i) | (1 << (8 + i))).otherwise(1 << i) for i, f in enumerate(flags)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out + b
+    return F.when(out != 0, out)
+
+
+def unpack_flag(packed: Column, i: int) -> Column:
+    """Flag i of ``pack_flags``: true, false or null."""
+    return F.when(packed.bitwiseAND(1 << i) != 0, packed.bitwiseAND(1 << (8 + i)) != 0)
+
+
+def bits_of_hex(text: Column, words: int = 4) -> Column:
+    """16 * words hex digits as an array of 64-bit patterns, else null."""
+    parts = F.array(*[F.conv(F.substring(text, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(words)])
+    return F.when(text.rlike(f"^[0-9a-fA-F]{{{16 * words}}}$"), parts)
+
+
+def distance_of_arrays(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of 64-bit patterns of the same length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def capture_time(text: Column) -> Column:
+    """``M/d/yyyy h:mm:ss AM`` or ``M/d/yyyy H:mm:ss`` as ISO text; a trailing ``(UTC+h[:mm])`` is kept as an offset; null if impossible."""
+    end = r"\s*\(UTC([+-])(\d{1,2})(?::(\d{2}))?\)\s*$"
+    bare = F.trim(F.regexp_replace(text, end, ""))
+    at = F.coalesce(F.try_to_timestamp(bare, F.lit("M/d/yyyy h:mm:ss a")), F.try_to_timestamp(bare, F.lit("M/d/yyyy H:mm:ss")))
+    minutes = F.regexp_extract(text, end, 3)
+    offset = F.when(text.rlike(end), F.concat(F.regexp_extract(text, end, 1), F.lpad(F.regexp_extract(text, end, 2), 2, "0"), F.lit(":"), F.when(minutes == "", "00").otherwise(minutes))).otherwise("")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def shown_in_zone(epoch: Column, zone: str) -> Column:
+    """Epoch seconds as a clock in ``zone`` shows them; 0, NaN and null are no time."""
+    at = F.timestamp_micros((epoch * 1_000_000).cast("long"))
+    return F.when(epoch.isNotNull() & ~F.isnan(epoch) & (epoch != 0), F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Fixed value: what a local path in a message becomes.
+HIDDEN_PATH = "<path>"
+
+
+def without_paths(text: Column) -> Column:
+    """A message without the local paths in it: of a drive, a share or the root."""
+    return F.regexp_replace(text, r"""(?:[A-Za-z]:\\|\\\\|(?<![\w/])/)[^\s'":;,]+""", HIDDEN_PATH)
+
+
 def world_x(lon: Column, zoom: int) -> Column:
     """Web-Mercator pixel column at a zoom, 256 pixels a tile."""
     return (lon + 180) / 360 * float(256 << zoom)

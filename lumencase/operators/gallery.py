@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumencase.functions.scalars import ARCHIVE_EXTS, DOCUMENT_EXTS, ascii_lower, contains_folded, real_prefix
+from lumencase.functions.scalars import ARCHIVE_EXTS, DOCUMENT_EXTS, ascii_lower, base_name, contains_folded, is_system_path, real_prefix
 from lumencase.staging import small_enough
 
 #: Columns that can be filtered and sorted on.
@@ -26,6 +27,19 @@ ORIGINS = ("walk", "deleted", "carve")
 PAGE_MAX = 5000
 
 
+#: Columns that are shown but not stored.
+VIRTUAL_COLUMNS = ("name", "file_path")
+
+
+def shown(column: str) -> Column:
+    """A list column, or what stands for a virtual one: the name is the last part of the path, the path that in the source, else that on disk."""
+    if column == "name":
+        return base_name(F.col("rel_path"))
+    if column == "file_path":
+        return F.replace(F.coalesce(F.when(F.col("rel_path") != "", F.col("rel_path")), F.col("path")), F.lit("\\"), F.lit("/"))
+    return F.col(column)
+
+
 def group_key() -> Column:
     """What a collapsed list shows once: the visual group, else the exact stack, else the file."""
     return F.coalesce("vstack_id", "stack_id", "id")
@@ -34,11 +48,14 @@ def group_key() -> Column:
 def column_filter(column: str, op: str, value: object = None) -> Column | None:
     """One column's condition: contains, eq, neq (null counts as unequal), min, max, gt, lt, set, notset.
 
-    An unknown column or operation, or a bound that is no number, gives None: no condition.
+    An unknown column or operation, an unknown origin, or a bound that is no number, gives None: no condition.
     """
-    if column not in LIST_COLUMNS:
+    if column not in LIST_COLUMNS and column not in VIRTUAL_COLUMNS:
+        return None
+    if column == "origin" and op == "eq" and value not in ORIGINS:
         return None
-    c, text = F.col(column), F.col(column).cast("string")
+    c = shown(column)
+    text = c.cast("string")
     if op == "contains":
         return contains_folded(text, str(value))
     if op == "eq":
@@ -55,7 +72,7 @@ def column_filter(column: str, op: str, value: object = None) -> Column | None:
             return None
         # a whole bound is compared as one, so that the comparison with a whole column reaches the scan
         n = int(n) if n.is_integer() else n
-        number = F.when(c.isNotNull(), real_prefix(text)) if column in TEXT_COLUMNS else c
+        number = F.when(c.isNotNull(), real_prefix(text)) if column in TEXT_COLUMNS or column in VIRTUAL_COLUMNS else c
         return {"min": number >= n, "max": number <= n, "gt": number > n, "lt": number < n}[op]
     return None
 
@@ -121,8 +138,14 @@ def search(files: DataFrame, text: str, flags: DataFrame | None = None, columns:
     return files
 
 
-def any_date(files: DataFrame, first: date | None, last: date | None, undated: bool = False, readings: str | None = None) -> DataFrame:
-    """Rows with any date in [first, last]: file system times as UTC instants, other dates by the day as written.
+def day_bounds(first: date | None, last: date | None, zone: str = "UTC") -> tuple[float | None, float | None]:
+    """(from, before) in epoch seconds: the days from ``first`` to ``last`` as they begin and end on the clock of ``zone``."""
+    at = lambda d: datetime(d.year, d.month, d.day, tzinfo=ZoneInfo(zone)).timestamp()
+    return None if first is None else at(first), None if last is None else at(last + timedelta(days=1))
+
+
+def any_date(files: DataFrame, first: date | None, last: date | None, undated: bool = False, readings: str | None = None, zone: str = "UTC") -> DataFrame:
+    """Rows with any date in [first, last]: file system times as instants, on days of ``zone``; other dates by the day as written.
 
     0 and blank are no date. ``undated`` adds (or, without a range, gives only) rows with no date at all.
     ``readings`` names a column with a JSON object of further readings.
@@ -130,8 +153,7 @@ def any_date(files: DataFrame, first: date | None, last: date | None, undated: b
     conditions = []
     values = F.map_values(F.from_json(readings, "map<string,string>")) if readings else None
     if first or last:
-        low = None if first is None else (first - date(1970, 1, 1)).days * 86400.0
-        high = None if last is None else (last + timedelta(days=1) - date(1970, 1, 1)).days * 86400.0
+        low, high = day_bounds(first, last, zone)
         for c in ("ctime", "mtime", "atime"):
             x = (F.col(c) != 0) & ~F.isnan(c)
             conditions.append((x if low is None else x & (F.col(c) >= low)) & (F.lit(True) if high is None else F.col(c) < high))
@@ -209,19 +231,70 @@ def pulled_from(files: DataFrame, container_kind: str) -> DataFrame:
     return files.join(of_kind, "container_id", "left_semi").select(files.columns)
 
 
-def scope(files: DataFrame, name: str, ids: DataFrame | None = None, uncategorized: int = 5, codes: Iterable[int] = ()) -> DataFrame:
-    """A report's rows: all, selected (ids), categorized, uncategorized, categories (codes)."""
+def flagged(files: DataFrame, file_flags: DataFrame, codes: Iterable[int] | None = None) -> DataFrame:
+    """Rows that carry a flag (file_flags: file_id, flag_code), or one of ``codes``."""
+    of = file_flags if codes is None else file_flags.where(F.col("flag_code").isin(list(codes)))
+    return files.join(of.select(F.col("file_id").alias("id")), "id", "left_semi").select(files.columns)
+
+
+def scope(
+    files: DataFrame, name: str, ids: DataFrame | None = None, uncategorized: int = 5, codes: Iterable[int] = (),
+    file_flags: DataFrame | None = None, where: str | None = None, vic_ids: DataFrame | None = None, vic_match: str = "include",
+) -> DataFrame:
+    """A report's rows: all, selected (ids), categorized, uncategorized, categories (codes), flags, specificflags (codes), where (a condition).
+
+    ``vic_match`` then keeps 'only' the rows that a Project VIC set lists (vic_ids: id), or leaves them out ('exclude').
+    """
     if name == "selected":
-        return files.join(ids, "id", "left_semi")
-    if name == "categorized":
-        return files.where((F.col("category") != uncategorized) & F.col("category").isNotNull())
-    if name == "uncategorized":
-        return files.where(F.col("category") == uncategorized)
-    if name == "categories":
-        return files.where(F.col("category").isin(list(codes)))
+        files = files.join(ids, "id", "left_semi")
+    elif name == "categorized":
+        files = files.where((F.col("category") != uncategorized) & F.col("category").isNotNull())
+    elif name == "uncategorized":
+        files = files.where(F.col("category") == uncategorized)
+    elif name == "categories":
+        files = files.where(F.col("category").isin(list(codes)))
+    elif name in ("flags", "specificflags"):
+        files = flagged(files, file_flags, None if name == "flags" else codes)
+    elif name == "where" and where:
+        files = files.where(where)
+    if vic_match in ("only", "exclude"):
+        files = files.join(vic_ids.select("id"), "id", "left_semi" if vic_match == "only" else "left_anti")
     return files
 
 
+def matched_by(files: DataFrame, hits: DataFrame, summary: DataFrame, name: str, sets: DataFrame) -> DataFrame:
+    """Rows by what lists them: '*' any set of the case, '*good' known to be good, '*vic', '*stash' and '*both' by source, else the set of that name."""
+    if name == "*":
+        found = summary.join(sets.select(F.col("name").alias("top")), "top", "left_semi")
+    elif name == "*good":
+        found = summary.where("top_kind = 'known-good'")
+    elif name in ("*vic", "*stash", "*both"):
+        bits = {"*vic": 1, "*stash": 2, "*both": 3}[name]
+        found = summary.where(F.col("mask").bitwiseAND(bits) == bits)
+    else:
+        found = hits.where(F.col("name") == name)
+    return files.join(found.select("id"), "id", "left_semi")
+
+
+def retryable(files: DataFrame, placeholder: str) -> DataFrame:
+    """Rows with an error that trying again may mend: not those whose content was never there (errors beginning with ``placeholder``)."""
+    return files.where(F.col("error").isNotNull() & ~F.col("error").startswith(placeholder))
+
+
+#: Older names of sort orders: column and whether it descends.
+NAMED_SORTS = {"path": ("rel_path", False), "date": ("created_dt", False), "size": ("size", False), "cluster": ("vstack_id", False), "id": ("id", False)}
+
+
+def named_sort(files: DataFrame, name: str, limit: int = 500) -> DataFrame:
+    column, descending = NAMED_SORTS.get(name, ("rel_path", False))
+    return page(files, column, descending, limit)
+
+
+def build_order(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """The rows in the order an index takes them: the system's own artwork last, larger first; the sort is by range, not in one task."""
+    return files.orderBy(is_system_path(F.col(path)), F.desc_nulls_last(size), "id")
+
+
 def expand_to_groups(files: DataFrame, selected: DataFrame) -> DataFrame:
     """id of every file in the group of a selected one (column id)."""
     keys = files.join(selected, "id", "left_semi").select(group_key().alias("grp")).distinct()

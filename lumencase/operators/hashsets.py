@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumencase.functions.scalars import EMPTY_HASHES, distance, hexbits, storable
@@ -166,7 +166,8 @@ def stash_summary(stash: DataFrame) -> DataFrame:
     return rows.groupBy("region", "category").agg(F.countDistinct("md5").alias("entries"), F.max("added_at").alias("newest"))
 
 
-def first_listed(entries: DataFrame) -> DataFrame:
-    """Insert-or-ignore: of each (set, algo, value) the entry added first; a window over bounded keys."""
-    w = Window.partitionBy("hashset_id", "algo", "value").orderBy("added_at", "media_id")
-    return entries.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def every_value(entries: DataFrame, stash: DataFrame, algo: str = "md5") -> DataFrame:
+    """value, in_sets, in_stash: the distinct listed hashes of one kind over the case's sets and the examiner's own list."""
+    a = normalised(entries).where(F.col("algo") == algo).select("value", F.lit(1).alias("c"), F.lit(0).alias("g"))
+    b = stash_entries(stash).select(F.col("md5").alias("value"), F.lit(0).alias("c"), F.lit(1).alias("g")) if algo == "md5" else a.limit(0)
+    return a.unionByName(b).groupBy("value").agg((F.max("c") == 1).alias("in_sets"), (F.max("g") == 1).alias("in_stash"))

@@ -11,6 +11,40 @@ from lumencase.functions.scalars import base_name, text_of_duration, text_of_siz
 CSV_FIELDS = "id source rel_path kind ext size md5 sha1 sha256 phash width height duration created_dt gps_lat gps_lon camera category error".split()
 
 
+def exported(files: DataFrame) -> DataFrame:
+    """The rows of the file list export; numbers that are not finite become null, as no reader of CSV or JSON knows them."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
+    kinds = dict(files.dtypes)
+    return files.select([finite(c) if kinds[c] in ("double", "float") else F.col(c) for c in CSV_FIELDS if c in kinds])
+
+
+def verdicts(stated: DataFrame, id: str = "file_id", value: str = "value") -> DataFrame:
+    """id, verdict: 'yes' if anything stated (one row each; value true, false or null) is true, else 'no' if anything is false, else 'unknown'."""
+    yes, no = F.bool_or(F.coalesce(value, F.lit(False))), F.bool_or(F.coalesce(~F.col(value), F.lit(False)))
+    return stated.where(F.col(id).isNotNull()).groupBy(id).agg(F.when(yes, "yes").when(no, "no").otherwise("unknown").alias("verdict"))
+
+
+def merged_similar(*found: tuple[str, DataFrame]) -> DataFrame:
+    """query, id, match: results of several searches (query, id) as one list; a pair that several found has the label of the first."""
+    rows = None
+    for order, (label, part) in enumerate(found):
+        part = part.select("query", "id", F.struct(F.lit(order).alias("o"), F.lit(label).alias("l")).alias("m"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where("query != id").groupBy("query", "id").agg(F.min("m").alias("m")).select("query", "id", F.col("m.l").alias("match"))
+
+
+def first_records(files: DataFrame, records: DataFrame) -> DataFrame:
+    """id, records, raw_id, case_seq, media_seq, media_id, category: the first record of each file by MD5, how many there are, and the first real category.
+
+    ``records`` is as ``sources.media.vic_index`` gives it; a category is real from 1 to 4.
+    """
+    keyed = records.where("md5 is not null").groupBy(F.lower(F.trim("md5")).alias("k")).agg(
+        F.count("*").alias("records"), F.min(F.struct("raw_id", "case_seq", "media_seq", "media_id")).alias("f"),
+        F.min_by("category", F.when(F.col("category").between(1, 4), F.struct("raw_id", "case_seq", "media_seq"))).alias("category"),
+    )
+    return files.select("id", F.lower(F.trim("md5")).alias("k")).join(keyed, "k").select("id", "records", "f.*", "category")
+
+
 def located(files: DataFrame) -> DataFrame:
     return files.where(valid_place(F.col("gps_lat"), F.col("gps_lon")))
 

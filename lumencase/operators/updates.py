@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumencase.functions.scalars import storage_view
 from lumencase.operators.gallery import expand_to_groups
 
 
@@ -45,10 +46,22 @@ def categorize(files: DataFrame, selected: DataFrame, category: int, whole_group
     return set_values(files, ids.distinct().withColumn("category", F.lit(category)))
 
 
-def audit_row(ts: float, actor: str, action: str, detail: dict) -> dict:
-    import json
+def put(rows: DataFrame, changes: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """A small table (categories, flags, saved sets) after rows were added or replaced and others removed by key."""
+    kept = rows.join(changes.select(key).unionByName(removed.select(key)).distinct(), key, "left_anti")
+    return kept.unionByName(changes, allowMissingColumns=True).select(rows.columns)
 
-    return {"ts": ts, "actor": actor, "action": action, "detail": json.dumps(detail, ensure_ascii=False, sort_keys=True)}
+
+def collapse_views(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """kept, spellings, agree: one row for each stored file that stands under two or more spellings of its path.
+
+    ``kept`` is the preferred spelling. Copies of different sizes do not agree and are all left (agree false).
+    """
+    v = files.select(storage_view(F.col(path)).alias("v"), F.col(path).alias("p"), F.col(size).alias("s")).where("v is not null")
+    per = v.groupBy("v.prefix", "v.storage", "v.user", "v.rest").agg(
+        F.min_by("p", F.struct("v.rank", "p")).alias("kept"), F.countDistinct("p").alias("spellings"), (F.countDistinct("s") + F.max(F.col("s").isNull().cast("int")) == 1).alias("agree")
+    )
+    return per.where("spellings > 1").select("kept", "spellings", "agree")
 
 
 def relink_problems(registered: DataFrame, listed: DataFrame) -> DataFrame:

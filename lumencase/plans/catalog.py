@@ -18,14 +18,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql is not None:
-            SQL[name or f.__name__] = sql
-        return f
+def registrar(queries: dict, sqls: dict):
+    def query(sql: str | None = None, name: str | None = None):
+        def add(f):
+            queries[name or f.__name__] = f
+            if sql is not None:
+                sqls[name or f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, SQL)
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +72,7 @@ def page_group_sizes(spark: SparkSession, root: str) -> DataFrame:
 
 
 _FILTERS = {
-    "contains": (("rel_path", "contains", "DCIM_0"), "contains(lower(rel_path), 'dcim_0')"),
+    "contains": (("rel_path", "contains", "DSC_00"), "contains(lower(rel_path), 'dsc_00')"),
     "contains_camera": (("camera", "contains", "mini"), "contains(lower(camera), 'mini')"),
     "eq": (("ext", "eq", "jpg"), "ext = 'jpg'"),
     "neq": (("camera", "neq", "Luxel Mini"), "camera IS NULL OR camera <> 'Luxel Mini'"),
@@ -130,10 +136,13 @@ def any_date_none(spark: SparkSession, root: str) -> DataFrame:
     return gallery.any_date(_files(spark, root), None, None, True).select("id")
 
 
-@query("""SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' OR EXISTS (SELECT 1 FROM (SELECT unnest(json_extract_string(props, '$.*')) AS v) WHERE substr(v, 1, 10) <> '' AND substr(v, 1, 10) >= '2024-01-01' AND substr(v, 1, 10) <= '2024-01-31')""")
+@query("""SELECT event_id AS id FROM (SELECT event_id, ts, json_object('kind', event_type, 'seen', strftime(ts + INTERVAL 12 DAY, '%Y-%m-%dT%H:%M:%S')) AS r FROM events)
+WHERE (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-18') OR EXISTS (SELECT 1 FROM (SELECT unnest(json_extract_string(r, '$.*')) AS v) WHERE substr(v, 1, 10) <> '' AND substr(v, 1, 10) >= '2024-01-15' AND substr(v, 1, 10) <= '2024-01-17')""")
 def any_date_readings(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events").select(F.col("event_id").alias("id"), F.lit(None).cast("double").alias("ctime"), F.unix_timestamp("ts").cast("double").alias("mtime"), F.lit(None).cast("double").alias("atime"), F.lit(None).cast("string").alias("created_dt"), "props")
-    return gallery.any_date(e, date(2024, 1, 1), date(2024, 1, 31), False, "props").select("id")
+    """Events with their own time, and a JSON object of further readings, one of them a date twelve days later."""
+    later = F.date_format(F.col("ts") + F.expr("interval 12 days"), "yyyy-MM-dd'T'HH:mm:ss")
+    e = table(spark, root, "events").select(F.col("event_id").alias("id"), F.lit(None).cast("double").alias("ctime"), F.unix_timestamp("ts").cast("double").alias("mtime"), F.lit(None).cast("double").alias("atime"), F.lit(None).cast("string").alias("created_dt"), F.to_json(F.struct(F.col("event_type").alias("kind"), later.alias("seen"))).alias("readings"))
+    return gallery.any_date(e, date(2024, 1, 15), date(2024, 1, 17), False, "readings").select("id")
 
 
 _EXACT = "stack_id IN (SELECT stack_id FROM files WHERE stack_id IS NOT NULL GROUP BY stack_id HAVING count(*) > 1)"
@@ -337,9 +346,14 @@ def algo_counts(spark: SparkSession, root: str) -> DataFrame:
     return hashsets.algo_counts(table(spark, root, "hashset_entries"))
 
 
-@query(f"""SELECT k AS md5, region, min(category) AS category FROM (SELECT {_MD5} AS k, * FROM stash) WHERE k IS NOT NULL GROUP BY 1, 2""")
+_MORE_STASH = "(SELECT md5, region, category, added_at, source FROM stash UNION ALL SELECT md5, 'US', 2, 2e9, 'case' FROM files WHERE id % 7 = 0)"
+
+
+@query(f"""SELECT k AS md5, region, min(category) AS category, arg_min(source, row(added_at, source)) FILTER (WHERE source IS NOT NULL) AS source FROM (SELECT {_MD5} AS k, * FROM {_MORE_STASH}) WHERE k IS NOT NULL GROUP BY 1, 2""")
 def stash_upsert(spark: SparkSession, root: str) -> DataFrame:
-    return hashsets.upsert_stash(table(spark, root, "stash")).select("md5", "region", "category")
+    """The stash after the hashes of every seventh file were added to it."""
+    more = _files(spark, root).where("id % 7 = 0").select("md5", F.lit("US").alias("region"), F.lit(2).alias("category"), F.lit(2e9).alias("added_at"), F.lit("case").alias("source"))
+    return hashsets.upsert_stash(table(spark, root, "stash"), more).select("md5", "region", "category", "source")
 
 
 @query(f"""SELECT region, category, count(DISTINCT k) AS entries, max(added_at) AS newest FROM (SELECT {_MD5} AS k, * FROM stash) WHERE k IS NOT NULL GROUP BY 1, 2""")
@@ -347,12 +361,14 @@ def stash_summary(spark: SparkSession, root: str) -> DataFrame:
     return hashsets.stash_summary(table(spark, root, "stash"))
 
 
-@query(f"""WITH {_ENTRIES}, l AS (SELECT DISTINCT value, CAST('0x' || value AS UBIGINT) AS h FROM n WHERE algo = 'phash'),
-f AS (SELECT id, CAST('0x' || lower(trim(phash)) AS UBIGINT) AS h FROM files WHERE regexp_full_match(lower(trim(phash)), '[0-9a-f]{{16}}')),
+@query("""WITH l AS (SELECT DISTINCT lower(trim(phash)) AS value, CAST('0x' || lower(trim(phash)) AS UBIGINT) AS h FROM files WHERE id % 10 = 0 AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')),
+f AS (SELECT id, CAST('0x' || lower(trim(phash)) AS UBIGINT) AS h FROM files WHERE regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')),
 m AS (SELECT f.id, l.value, CAST(bit_count(xor(f.h, l.h)) AS INT) AS distance FROM f, l WHERE bit_count(xor(f.h, l.h)) <= 6)
 SELECT id, value, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, value) AS rn FROM m) WHERE rn = 1""")
 def phash_nearest_entry(spark: SparkSession, root: str) -> DataFrame:
-    return hashsets.nearest_listed(_files(spark, root), table(spark, root, "hashset_entries"))
+    """The nearest of a list of perceptual hashes; those of every tenth file stand in for the list."""
+    listed = _files(spark, root).where("id % 10 = 0").select(F.lit(1).alias("hashset_id"), F.lit("phash").alias("algo"), F.col("phash").alias("value"), F.lit(None).cast("int").alias("category"), F.col("id").alias("media_id"), F.lit(None).cast("timestamp").alias("added_at"))
+    return hashsets.nearest_listed(_files(spark, root), listed)
 
 
 # ---- similarity -------------------------------------------------------------------------------------------
@@ -444,9 +460,12 @@ def export_md5(spark: SparkSession, root: str) -> DataFrame:
     return reports.md5_list(_files(spark, root))
 
 
-@query(f"SELECT {', '.join(reports.CSV_FIELDS)} FROM files")
+_CSV_SQL = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" if c in ("duration", "gps_lat", "gps_lon") else c for c in reports.CSV_FIELDS)
+
+
+@query(f"SELECT {_CSV_SQL} FROM files")
 def export_csv_rows(spark: SparkSession, root: str) -> DataFrame:
-    return _files(spark, root).select(reports.CSV_FIELDS)
+    return reports.exported(_files(spark, root))
 
 
 _SIZE_TEXT = "CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) WHEN size IS NOT NULL THEN printf('%.1f GB', size / 1073741824.0) END"
@@ -568,11 +587,14 @@ def folder_root(spark: SparkSession, root: str) -> DataFrame:
     return updates.folder_root(_files(spark, root))
 
 
-@query("""SELECT CAST(f.id AS BIGINT) AS id, f.path, CASE WHEN f.reviewed = 1 THEN f.size + 1 ELSE f.size END AS size, f.kind FROM files f""")
+@query("""SELECT CAST(f.id AS BIGINT) AS id, f.path, CASE WHEN f.reviewed = 1 THEN f.size + 1 ELSE f.size END AS size, f.kind FROM files f
+UNION ALL SELECT NULL, path || '.new', id, NULL FROM files WHERE id % 50 = 0""")
 def upsert_files(spark: SparkSession, root: str) -> DataFrame:
+    """Reviewed files get a new size, and new paths are added; the ids of new rows are shown as null once they are known to be fresh."""
     f = _files(spark, root).select("id", "path", "size", "kind")
-    changes = _files(spark, root).where("reviewed = 1").select("path", (F.col("size") + 1).alias("size"))
-    return updates.upsert(f, changes)
+    changes = _files(spark, root).where("reviewed = 1").select("path", (F.col("size") + 1).alias("size")).unionByName(f.where("id % 50 = 0").select(F.concat("path", F.lit(".new")).alias("path"), F.col("id").alias("size")))
+    top = f.agg(F.max("id").alias("top"))
+    return updates.upsert(f, changes).crossJoin(top).select(F.when(F.col("id") <= F.col("top"), F.col("id")).alias("id"), "path", "size", "kind")
 
 
 def _same(lat: Column, lon: Column) -> Column:
@@ -631,12 +653,17 @@ def crypto_hashes(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("id", F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"))
 
 
-@query("""SELECT key, count(*) AS spellings, count(DISTINCT size) AS sizes FROM (SELECT CASE
- WHEN regexp_matches(path, '(^|/)data/media/([0-9]+)/') THEN regexp_replace(path, '^(.*?(?:^|/))data/media/([0-9]+)/(.*)$', '\\1|media:\\2|/\\3')
- WHEN regexp_matches(path, '(^|/)sdcard/') THEN regexp_replace(path, '^(.*?(?:^|/))sdcard/(.*)$', '\\1|media:0|/\\2') END AS key, size FROM files) WHERE key IS NOT NULL GROUP BY 1""")
+@query("""WITH e AS (SELECT 'x/data/media/0/' || rel_path AS p, size AS s, rel_path, id, 1 AS r FROM files WHERE id % 3 = 0 UNION ALL SELECT 'x/sdcard/' || rel_path, CASE WHEN id % 5 = 0 THEN size + 1 ELSE size END, rel_path, id, 2 FROM files WHERE id % 6 = 0
+ UNION ALL SELECT 'data/user/10/' || rel_path, size, rel_path, id, 1 FROM files WHERE id % 4 = 0 UNION ALL SELECT 'data_mirror/data_ce/null/10/' || rel_path, size, rel_path, id, 2 FROM files WHERE id % 8 = 0),
+g AS (SELECT split_part(p, '/', 1) = 'x' AS m, rel_path, arg_min(p, row(r, p)) AS kept, count(DISTINCT p) AS spellings, count(DISTINCT s) + max(CAST(s IS NULL AS INT)) = 1 AS agree FROM e GROUP BY 1, 2)
+SELECT kept, spellings, agree FROM g WHERE spellings > 1""")
 def storage_view_plan(spark: SparkSession, root: str) -> DataFrame:
-    v = _files(spark, root).select(S.storage_view(F.col("path")).alias("v"), "size").where("v is not null")
-    return v.groupBy("v.key").agg(F.count("*").alias("spellings"), F.countDistinct("size").alias("sizes"))
+    """Files laid out under spellings of the same storage, some copies with another size, and which spelling is kept."""
+    f = _files(spark, root)
+    under = lambda prefix, of, size: f.where(F.col("id") % of == 0).select(F.concat(F.lit(prefix), "rel_path").alias("path"), size.alias("size"))
+    grown = F.when(F.col("id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    spelled = under("x/data/media/0/", 3, F.col("size")).unionByName(under("x/sdcard/", 6, grown)).unionByName(under("data/user/10/", 4, F.col("size"))).unionByName(under("data_mirror/data_ce/null/10/", 8, F.col("size")))
+    return updates.collapse_views(spelled)
 
 
 # ---- exports and streams ----------------------------------------------------------------------------------

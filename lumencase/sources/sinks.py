@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencase.operators.reports import CSV_FIELDS, located, md5_list
+from lumencase.operators.reports import exported, located, md5_list
 
 
 def write_csv(files: DataFrame, path: str) -> None:
-    files.select([c for c in CSV_FIELDS if c in files.columns]).write.mode("overwrite").option("header", "true").csv(path)
+    exported(files).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_json(files: DataFrame, path: str) -> None:

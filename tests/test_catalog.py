@@ -99,7 +99,14 @@ def test_scalars(spark):
     assert pick(S.similarity_percent(F.lit(12))) == (81.2,)
     assert pick(S.text_of_duration(F.lit(3725.9)), S.text_of_duration(F.lit(None).cast("double"))) == ("1:02:05", "")
     assert pick(S.sniff_kind(F.lit(bytearray(b"\x00\x00\x00\x18ftypheic")).cast("binary")), S.sniff_kind(F.lit(bytearray(b"RIFF0000WEBP")).cast("binary"))) == ("image", "image")
-    assert pick(S.storage_view(F.lit("x/data/media/10/a.jpg")), S.storage_view(F.lit("nothing")))[1] is None
-    assert pick(S.storage_view(F.lit("data/media/0/a"))["key"], S.storage_view(F.lit("sdcard/a"))["key"])[0] == "|media:0|/a"
+    view = lambda p: pick(S.storage_view(F.lit(p)))[0]
+    assert view("nothing") is None and view("x/mydata/media/10/a.jpg") is None
+    assert tuple(view("x/data/media/10/a.jpg")) == ("x/", "media", "10", "a.jpg", 5)
+    assert tuple(view("mnt/user/0/emulated/0/a"))[:4] == tuple(view("sdcard/a"))[:4] == tuple(view("storage\\emulated\\0\\a"))[:4] == ("", "media", "0", "a")
+    assert tuple(view("data_mirror/data_de/9f1c-22/11/b/c"))[:4] == tuple(view("data/user_de/11/b/c"))[:4] == ("", "de", "11", "b/c")
+    assert pick(S.capture_time(F.lit("9/9/2024 9:59:59 PM (UTC-5)")), S.capture_time(F.lit("9/9/2024 9:99:99 PM")), S.capture_time(F.lit("12/31/2020 23:00:01"))) == ("2024-09-09T21:59:59-05:00", None, "2020-12-31T23:00:01")
+    assert pick(S.without_paths(F.lit("in C:\\a\\b.txt and /x/y: 3/4 left"))) == ("in <path> and <path>: 3/4 left",)
+    packed = S.pack_flags(F.lit(True), F.lit(None).cast("boolean"), F.lit(False))
+    assert pick(packed, S.unpack_flag(packed, 0), S.unpack_flag(packed, 1), S.unpack_flag(packed, 2), S.pack_flags(F.lit(None).cast("boolean"))) == (261, True, None, False, None)
     assert pick(S.tile_id(1, F.lit(1), F.lit(0)), S.tile_id(0, F.lit(0), F.lit(0)), S.tile_id(2, F.lit(0), F.lit(0)), S.tile_id(1, F.lit(0), F.lit(1))) == (4, 0, 5, 2)
     assert pick(S.real_prefix(F.lit("12.5kg")), S.real_prefix(F.lit("kg"))) == (12.5, 0.0)
