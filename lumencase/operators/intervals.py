@@ -40,7 +40,18 @@ def first_run(spans: DataFrame, by: str, start: str = "start", end: str = "end")
     return whole.select(by, F.when(F.col("begin") == 0, F.col("reach")).otherwise(F.lit(0)).alias("reach"), F.when(F.col("begin") == 0, F.col("pieces")).otherwise(0).alias("pieces"), state.alias("state"))
 
 
-def until_full(rows: DataFrame, by: str, order: str, tie: str, size: str, cap: float) -> DataFrame:
-    """The newest rows of each key whose sizes fit under ``cap`` together; the others are evicted oldest first."""
+def until_full(rows: DataFrame, by: str, order: str, tie: str, size: str, cap: float, span: float = 86_400.0) -> DataFrame:
+    """The newest rows of each key whose sizes (not negative; null counts as nothing) fit under ``cap`` together; the others are evicted oldest first.
+
+    Sizes are summed by spans of ``order`` first: spans wholly under or over the cap are decided as such, and
+    only the rows of the one span of each key in which the cap is reached are put in order.
+    """
+    spanned = rows.withColumn("_span", F.col(order) - F.pmod(F.col(order), F.lit(span)))
+    per = spanned.groupBy(by, "_span").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(by).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, 0))
+    per = per.withColumn("_after", so_far).withColumn("_before", F.col("_after") - F.col("_n")).where(F.col("_before") <= cap).select(F.col(by).alias("_by"), F.col("_span").alias("_s"), "_before", "_after")
+    kept = spanned.join(per, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_s")))
+    whole = kept.where(F.col("_after") <= cap).select(rows.columns)
     w = Window.partitionBy(by).orderBy(F.desc(order), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= cap).drop("_sum")
+    split = kept.where(F.col("_after") > cap).withColumn("_sum", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("_sum") <= cap)
+    return whole.unionByName(split.select(rows.columns))

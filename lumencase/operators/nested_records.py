@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from hashlib import blake2b
+from json.encoder import encode_basestring
 from typing import Any
 
 import pyarrow as pa
@@ -34,69 +35,88 @@ FLAGS = {
     "issuspected": "is_suspected",
     "selfgenerated": "self_generated",
 }
+#: Between the fields of an object, and between a field's name and text, where its scalars are one text; JSON text never holds them.
+SPLIT, NAMED = "\x1f", "\x1e"
+#: Identities a task remembers to have given.
+REMEMBERED = 1_000_000
 #: Unicode white space as a class for regular expressions of the JVM.
 _SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
-def _walk(value: Any, nodes: dict[bytes, tuple], links: dict[tuple, None]) -> bytes:
-    """The identity of a value; fills nodes and links with what is below it, itself included."""
-    if isinstance(value, dict):
-        scalars, parts = {}, []
-        children: list[tuple[str, int, bytes]] = []
-        for field in sorted(value):
-            x = value[field]
-            if isinstance(x, dict):
-                children.append((field, -1, _walk(x, nodes, links)))
-                scalars[field] = "{"
-            elif isinstance(x, list):
-                children += [(field, i, _walk(y, nodes, links)) for i, y in enumerate(x)]
-                scalars[field] = "["
-            else:
-                scalars[field] = json.dumps(x, ensure_ascii=False)
-        parts = [json.dumps([sorted(scalars.items()), [(f, i, c.hex()) for f, i, c in children]], ensure_ascii=False)]
-        identity = blake2b(parts[0].encode("utf-8", "surrogatepass"), digest_size=16, person=b"object").digest()
-        if identity not in nodes:
-            nodes[identity] = ("object", scalars, None)
-            for f, i, c in children:
-                links[identity, f, i, c] = None
-    elif isinstance(value, list):
-        children = [("", i, _walk(y, nodes, links)) for i, y in enumerate(value)]
-        identity = blake2b(b"".join(c for _, _, c in children), digest_size=16, person=b"array").digest()
-        if identity not in nodes:
-            nodes[identity] = ("array", None, None)
-            for f, i, c in children:
-                links[identity, f, i, c] = None
-    else:
-        text = json.dumps(value, ensure_ascii=False)
-        identity = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, person=b"scalar").digest()
-        nodes.setdefault(identity, ("scalar", None, text))
-    return identity
-
-
-_SCHEMA = "part string, key string, node binary, field string, ordinal int, child binary, kind string, scalars map<string,string>, value string"
+def _scalar(value: Any) -> str:
+    return encode_basestring(value) if isinstance(value, str) else json.dumps(value)
+
+
+def _identity(kind: bytes, text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest()
+
+
+def _walk(value: Any, nodes: dict[bytes, tuple], links: list[tuple], seen: set[bytes]) -> bytes:
+    """The identity of a value; adds what of it and below it is not ``seen`` to nodes and links.
+
+    Values are numbered from the top, each before its children, and hashed in the reverse order, so no depth is too great.
+    """
+    values, below = [value], []
+    for x in values:  # grows while it is read
+        children: list[tuple[str, int, int]] = []
+        if isinstance(x, dict):
+            for field in sorted(x):
+                y = x[field]
+                if isinstance(y, dict):
+                    children.append((field, -1, len(values)))
+                    values.append(y)
+                elif isinstance(y, list):
+                    children += [(field, i, len(values) + i) for i in range(len(y))]
+                    values += y
+        elif isinstance(x, list):
+            children = [("", i, len(values) + i) for i in range(len(x))]
+            values += x
+        below.append(children)
+    ids: list[bytes] = [b""] * len(values)
+    for n in range(len(values) - 1, -1, -1):
+        x = values[n]
+        if isinstance(x, dict):
+            scalars = SPLIT.join(encode_basestring(f)[1:-1] + NAMED + ("{" if isinstance(x[f], dict) else "[" if isinstance(x[f], list) else _scalar(x[f])) for f in sorted(x))
+            children = [(f, i, ids[m]) for f, i, m in below[n]]
+            own = _identity(b"object", scalars + SPLIT + SPLIT + SPLIT.join(f"{encode_basestring(f)}{i}:{c.hex()}" for f, i, c in children))
+            made = ("object", scalars, None)
+        elif isinstance(x, list):
+            children = [(f, i, ids[m]) for f, i, m in below[n]]
+            own, made = _identity(b"array", "".join(c.hex() for _, _, c in children)), ("array", None, None)
+        else:
+            children, text = [], _scalar(x)
+            own, made = _identity(b"scalar", text), ("scalar", None, text)
+        ids[n] = own
+        if own not in seen:
+            seen.add(own)
+            nodes[own] = made
+            links += [(own, f, i, c) for f, i, c in children]
+    return ids[0]
+
+
+_SCHEMA = "part string, key string, node binary, field string, ordinal int, child binary, kind string, scalars string, value string"
 
 
 def _clean(text: str | None) -> str | None:
     """Lone surrogates cannot be written as UTF-8; they become question marks."""
-    return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
+    return None if text is None else text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "key", "node", "field", "ordinal", "child", "kind", "scalars", "value"]
-    types = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+    types = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.string()]
+    seen: set[bytes] = set()
     for batch in sliced(batches):
         nodes: dict[bytes, tuple] = {}
-        links: dict[tuple, None] = {}
+        links: list[tuple] = []
         rows: list[tuple] = []
+        if len(seen) > REMEMBERED:
+            seen.clear()
         for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             value = whole_json(payload)
-            if value is None:
-                continue
-            try:
-                rows.append(("root", key, _walk(value, nodes, links), None, None, None, None, None, None))
-            except RecursionError:
-                continue
-        rows += [("node", None, n, None, None, None, k, None if s is None else [(_clean(a), _clean(b)) for a, b in s.items()], _clean(v)) for n, (k, s, v) in nodes.items()]
+            if value is not None:
+                rows.append(("root", key, _walk(value, nodes, links, seen), None, None, None, None, None, None))
+        rows += [("node", None, n, None, None, None, k, _clean(s), _clean(v)) for n, (k, s, v) in nodes.items()]
         rows += [("link", None, n, _clean(f), i, c, None, None, None) for n, f, i, c in links]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -106,13 +126,15 @@ def shred(records: DataFrame, key: str, payload: str) -> dict[str, DataFrame]:
     """roots (key, node), nodes (node, kind, scalars, value) and bridge (node, field, ordinal, child).
 
     ``scalars`` has each scalar field's JSON text, and '{' or '[' where a field holds an object or a
-    list. ordinal is 0-based in a list and -1 for an object that stands alone. A payload that is
-    null, blank, damaged or nested beyond the reader's depth gives nothing; rows with the same
-    payload give one root each; other columns of ``records`` are ignored.
+    list; control characters, quotes and backslashes in a field's name stand escaped there. ordinal is 0-based in a list and -1
+    for an object that stands alone. A payload that is null, blank, damaged or nested beyond the JSON reader's
+    depth gives nothing; rows with the same payload give one root each; other columns of ``records`` are ignored.
     """
     made = records.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("string").alias("payload"))
     parts = cut(made.mapInArrow(_shred_batches, _SCHEMA), "part")
-    nodes = parts.where("part = 'node'").groupBy("node").agg(F.first("kind").alias("kind"), F.first("scalars").alias("scalars"), F.first("value").alias("value"))
+    # a node decides its other columns, so equal rows are all there is to merge
+    nodes = parts.where("part = 'node'").select("node", "kind", "scalars", "value").distinct()
+    nodes = nodes.withColumn("scalars", F.expr(f"if(kind = 'object', str_to_map(scalars, '{SPLIT}', '{NAMED}'), null)"))
     return {
         "roots": parts.where("part = 'root'").select("key", "node"),
         "nodes": nodes,

@@ -54,7 +54,8 @@ def near(points: DataFrame, distance_m: float = 30.0) -> DataFrame:
     """
     height = max(distance_m / _DEG_M * 1.6, 1e-7)  # of a band, in degrees
     bands = math.ceil(180 / height)
-    spots = cut(points.groupBy("lat", "lon").agg(F.count("*").alias("n")).withColumn("spot", F.xxhash64("lat", "lon")))
+    # a place is known by its two numbers, not by a hash of them, so no two can be taken for one
+    spots = cut(points.groupBy("lat", "lon").agg(F.count("*").alias("n")))
 
     def columns(band: Column) -> Column:
         # number of cells in a band, of at least `height` in width where the band is widest
@@ -63,26 +64,28 @@ def near(points: DataFrame, distance_m: float = 30.0) -> DataFrame:
 
     band_of = F.least(F.floor((F.col("lat") + 90) / height), F.lit(bands - 1)).cast("long")
     cell = lambda lon, n: F.floor((lon + 180) / 360 * n).cast("long")
-    home = spots.select("spot", "lat", "lon", band_of.alias("band")).withColumn("cell", F.pmod(cell(F.col("lon"), columns(F.col("band"))), columns(F.col("band"))))
+    home = spots.select("lat", "lon", band_of.alias("band")).withColumn("cell", F.pmod(cell(F.col("lon"), columns(F.col("band"))), columns(F.col("band"))))
     reach = distance_m / _DEG_M * 1.0000001
     low, high = F.floor((F.col("lat") + 90 - reach) / height), F.floor((F.col("lat") + 90 + reach) / height)
-    asked = spots.select("spot", "lat", "lon", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("long"), F.least(high, F.lit(bands - 1)).cast("long"))).alias("band"))
+    asked = spots.select("lat", "lon", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("long"), F.least(high, F.lit(bands - 1)).cast("long"))).alias("band"))
     # half the width of the circle in longitude at its latitude; beyond a pole's cap it is all round
     wide = F.when(F.abs("lat") + reach >= 89.9999, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(F.col("lat"))), F.lit(1.0)))))
     n = columns(F.col("band"))
     asked = asked.withColumn("n", n).withColumn("w", wide)
     first, last = cell(F.col("lon") - F.col("w"), F.col("n")), cell(F.col("lon") + F.col("w"), F.col("n"))
-    asked = asked.select("spot", "lat", "lon", "band", F.explode(F.sequence(first, F.least(last, first + F.col("n") - 1))).alias("c"), "n")
-    asked = asked.select(F.col("spot").alias("spot_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "band", F.pmod("c", "n").alias("cell"))
-    met = asked.join(home, ["band", "cell"]).where(F.col("spot_a") < F.col("spot")).where(metres(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) <= distance_m)
-    met = met.select("spot_a", F.col("spot").alias("spot_b"))
-    alone = spots.where("n > 1").select(F.col("spot").alias("spot_a"), F.col("spot").alias("spot_b"))
+    asked = asked.select("lat", "lon", "band", F.explode(F.sequence(first, F.least(last, first + F.col("n") - 1))).alias("c"), "n")
+    asked = asked.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "band", F.pmod("c", "n").alias("cell"))
+    before = (F.col("lat_a") < F.col("lat")) | ((F.col("lat_a") == F.col("lat")) & (F.col("lon_a") < F.col("lon")))
+    met = asked.join(home, ["band", "cell"]).where(before).where(metres(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) <= distance_m)
+    met = met.select("lat_a", "lon_a", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    alone = spots.where("n > 1").select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     pairs = cut(met.unionByName(alone))
-    busy = pairs.select(F.explode(F.array("spot_a", "spot_b")).alias("spot")).distinct()
-    members = cut(points.select("id", F.xxhash64("lat", "lon").alias("spot")).distinct().join(busy, "spot", "left_semi"))
-    a = members.select(F.col("id").alias("x"), F.col("spot").alias("spot_a"))
-    b = members.select(F.col("id").alias("y"), F.col("spot").alias("spot_b"))
-    both = pairs.join(a, "spot_a").join(b, "spot_b").where("(spot_a != spot_b and x != y) or x < y")
+    busy = pairs.select(F.explode(F.array(F.struct(F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")), F.struct(F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon")))).alias("s")).select("s.*").distinct()
+    members = cut(points.select("id", "lat", "lon").distinct().join(busy, ["lat", "lon"], "left_semi"))
+    a = members.select(F.col("id").alias("x"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    b = members.select(F.col("id").alias("y"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    apart = (F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b"))
+    both = pairs.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).where((apart & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

@@ -262,6 +262,20 @@ def format_mixtures(readings: DataFrame, exports: DataFrame) -> DataFrame:
     return rows.groupBy("export_id").applyInPandas(source, "export_id int, formats string, n long, chosen string, posterior double")
 
 
+def undeclared_agreement(readings: DataFrame, exports: DataFrame) -> DataFrame:
+    """declared, readings, agree, contradict, ambiguous: how EM reads the all-numeric dates valid in both orders if no order is declared.
+
+    One row per declared order; a choice counts only with a posterior of CERTAIN or more.
+    """
+    free = format_mixtures(readings, exports.withColumn("date_order", F.lit(None).cast("string"))).where("formats = 'DMY|MDY'")
+    told = exports.select(F.col("export_id").cast("int").alias("export_id"), F.upper(F.trim("date_order")).alias("declared")).where("declared in ('DMY', 'MDY')").groupBy("export_id").agg(F.max("declared").alias("declared"))
+    sure = F.col("posterior") >= CERTAIN
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return free.join(told, "export_id").groupBy("declared").agg(
+        F.sum("n").alias("readings"), count(sure & (F.col("chosen") == F.col("declared"))).alias("agree"), count(sure & (F.col("chosen") != F.col("declared"))).alias("contradict"), count(~sure).alias("ambiguous")
+    )
+
+
 def instants(chunks: DataFrame, exports: DataFrame) -> DataFrame:
     """raw_id, case_seq, media_seq, file_seq, field, text, utc_us, status of every reading that is there.
 

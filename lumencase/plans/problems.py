@@ -47,6 +47,11 @@ def p4_format_mixtures(spark: SparkSession, root: str) -> DataFrame:
     return timestamps.format_mixtures(timestamps.interpretations(table(spark, root, "vic_raw"), exports), exports)
 
 
+def p4_undeclared(spark: SparkSession, root: str) -> DataFrame:
+    exports = table(spark, root, "vic_exports")
+    return timestamps.undeclared_agreement(timestamps.interpretations(table(spark, root, "vic_raw"), exports), exports)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, root, "files"))
 
@@ -59,7 +64,7 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.descendants(table(spark, root, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p3_found, p3_near, p3_inside, p4_found, p4_readings, p4_format_mixtures, p6_found, p6_holdings, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_media, p1_sharing, p3_found, p3_near, p3_inside, p4_found, p4_readings, p4_format_mixtures, p4_undeclared, p6_found, p6_holdings, p6_descendants)}
 SQL: dict[str, str] = {
     "p3_near": """
 WITH p AS (SELECT id, gps_lat AS lat, gps_lon AS lon FROM files WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT (gps_lat = 0 AND gps_lon = 0))

@@ -81,6 +81,18 @@ def test_unclaimed_and_runs(spark):
     assert sorted((r["k"], r["start"], r["end"], r["pieces"]) for r in intervals.joined_runs(spans, "k").collect()) == [("a", 2, 8, 3), ("a", 12, 30, 1), ("b", -5, 0, 1)]
 
 
+def test_a_cache_keeps_the_newest_that_fit(spark):
+    rows = [(i, "a" if i % 3 else None, float(i // 4) * 50_000, 10 + i % 5) for i in range(60)] + [(99, "a", None, 1), (98, "b", 5.0, None)]
+    df = spark.createDataFrame(rows, "id long, k string, at double, size long")
+    want = set()
+    for key in (None, "a", "b"):
+        used = 0
+        for r in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] if r[2] is not None else -1, r[0]), reverse=True):
+            used += r[3] or 0
+            want |= {r[0]} if used <= 150 else set()
+    assert set(ids(intervals.until_full(df, "k", "at", "id", "size", 150))) == want
+
+
 def test_upsert_merges_and_numbers_new_rows(spark):
     old = spark.createDataFrame([(1, "a", 5, "x"), (7, "b", 6, None)], "id long, path string, size long, note string")
     new = spark.createDataFrame([("b", 9), ("c", 1), ("d", None)], "path string, size long")

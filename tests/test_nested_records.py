@@ -37,6 +37,11 @@ def test_value_comes_before_cases_but_null_is_none(spark):
     assert children(spark, {"value": [], "Cases": {"Media": {"Series": "s"}}}) == []
 
 
+def test_records_nested_very_deeply_are_whole(spark):
+    deep = json.dumps(medium(Tags="t", More="@")).replace('"@"', "[" * 900 + "]" * 900)
+    assert children(spark, deep) == [(0, 0, 0, "tag", 0, "t")]
+
+
 def test_equal_subtrees_are_stored_once(spark):
     tables = shred(chunks(spark, [medium(Tags=["a", "a"], MD5="x")] * 5), "raw_id", "payload")
     assert tables["roots"].count() == 5
