@@ -133,7 +133,7 @@ def shred(records: DataFrame, key: str, payload: str) -> dict[str, DataFrame]:
     made = records.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("string").alias("payload"))
     parts = cut(made.mapInArrow(_shred_batches, _SCHEMA), "part")
     # a node decides its other columns, so equal rows are all there is to merge
-    nodes = parts.where("part = 'node'").select("node", "kind", "scalars", "value").distinct()
+    nodes = cut(parts.where("part = 'node'").select("node", "kind", "scalars", "value").distinct())
     nodes = nodes.withColumn("scalars", F.expr(f"if(kind = 'object', str_to_map(scalars, '{SPLIT}', '{NAMED}'), null)"))
     return {
         "roots": parts.where("part = 'root'").select("key", "node"),
