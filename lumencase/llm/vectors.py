@@ -1,7 +1,14 @@
-"""Most similar vectors for every vector: a navigable small-world graph per shard, results merged.
+"""Most similar vectors for every vector: groups of linked vectors compared whole, or a navigable small-world graph per shard.
+
+Groups. Where a similarity of ``GROUPED_FROM`` or more is asked for, vectors are first only linked: rounded to
+bytes, which are a quarter as large, each asks its own cell and the ``ASKED`` nearest others, is compared with all
+that live there, and is linked to those that may be similar enough (the bound of the rounding is allowed for). The linked vectors
+of a cell come out as stars, the stars of all cells as groups, and in its group every vector is compared with all others at full
+precision. So a pair that met in no cell is found if a chain of pairs that did meet joins it. Groups of more than
+``GROUP_ROWS`` vectors, and all vectors where less similarity is asked for, are searched by graphs.
 
 Routing. Centroids cut the collection into cells; every vector is indexed in the cell of its nearest centroid
-and asks its own cell and the ``PROBES`` nearest others. Few centroids are fitted on one bounded sample
+and, for the graphs, asks its own cell and the ``PROBES`` nearest others. Few centroids are fitted on one bounded sample
 (``SAMPLE_ROWS``); many are fitted in two steps, the second by one task per first-step cell on
 ``FIT_ROWS`` vectors a centroid. A cell that holds more than ``SHARD_ROWS`` vectors (a face that a third of all
 rows show) is cut again by centroids of its own. What even these cannot part is split into shards by a hash,
@@ -30,12 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumencase.operators.components import min_labels
 from lumencase.staging import cut, release, small_enough
 
 #: Vectors the centroids are fitted on at most; indexed vectors a shard has at most (about); other cells a vector asks.
 SAMPLE_ROWS, SHARD_ROWS, CELL_ROWS, PROBES = 8192, 32_768, 16_384, 2
 #: Centroids fitted at once at most; vectors a centroid is fitted on in a later step; times that cells too large are cut again; rows of a task that ask.
 FIT_CELLS, FIT_ROWS, CUTS, ASKING_ROWS = 128, 64, 3, 131_072
+#: Similarity from which vectors are grouped; other cells a vector asks for its links; vectors of a group that are compared whole at most, and of a task about.
+GROUPED_FROM, ASKED, GROUP_ROWS, TASK_ROWS = 0.5, 5, 65_536, 8192
+#: Links a task holds before it reduces them to stars.
+LINKS = 1 << 20
 #: Neighbours a vector keeps on the ground level and above; candidates while building and while searching.
 GROUND, UPPER, EF_BUILD, EF_SEARCH = 16, 10, 16, 20
 #: Neighbours a search returns beyond k; the vectors they are found for gain candidates the other way.
@@ -316,11 +328,11 @@ def _sizes(routed: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["cell"]: (r["n"], r["asking"]) for r in routed.groupBy("cell").agg(F.count_if("home").alias("n"), F.count("*").alias("asking")).collect()}
 
 
-def _cells(vectors: DataFrame, cells: int, size: int, probes: int, total: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+def _cells(vectors: DataFrame, size: int, probes: int, total: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     """The centroids, cells that came out too large cut again, and the sizes of the cells."""
-    c = centroids(vectors, cells, size, total)
+    c = centroids(vectors, int(min(MAX_CELLS, max(1, -(-total // CELL_ROWS)))), size, total)
     for cuts in range(CUTS + 1):
-        sizes = _sizes(_route(vectors, c, size, probes))
+        sizes = _sizes(_route(vectors, c, size, probes, True))
         large = {cell: (n, min(FIT_CELLS, -(-n // CELL_ROWS))) for cell, (n, _) in sizes.items() if n > SHARD_ROWS}
         if not large or cuts == CUTS or len(c) + sum(k for _, k in large.values()) > MAX_CELLS:
             return c, sizes
@@ -330,8 +342,15 @@ def _cells(vectors: DataFrame, cells: int, size: int, probes: int, total: int) -
         c = again
 
 
-def _route(vectors: DataFrame, c: np.ndarray, size: int, probes: int) -> DataFrame:
-    """id, v, cell, home: each vector once for its own cell and once for each near cell it asks."""
+def _rounded(x: np.ndarray) -> pa.Array:
+    """The directions as one signed byte a number, the largest at 127."""
+    q = np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, initial=0), 1e-30))[:, None]).astype(np.int8)
+    ends = np.arange(len(q) + 1, dtype=np.int32) * x.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(q))])
+
+
+def _route(vectors: DataFrame, c: np.ndarray, size: int, probes: int, rounded: bool = False) -> DataFrame:
+    """id, v, cell, home: each vector, ``rounded`` to bytes or as it is, once for its own cell and once for each near cell it asks."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,38 +363,20 @@ def _route(vectors: DataFrame, c: np.ndarray, size: int, probes: int) -> DataFra
             top, close = np.take_along_axis(top, order, axis=1), np.take_along_axis(close, order, axis=1)
             row, slot = np.nonzero(close > -np.inf)
             taken = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(top[row, slot].astype(np.int32)), pa.array(slot == 0)], ["id", "v", "cell", "home"])
+            v = _rounded(x) if rounded else batch.column(1)
+            yield pa.record_batch([batch.column(0).take(taken), v.take(taken), pa.array(top[row, slot].astype(np.int32)), pa.array(slot == 0)], ["id", "v", "cell", "home"])
 
     return vectors.mapInArrow(route, "id long, v binary, cell int, home boolean")
 
 
-def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str = "id", vector: str = "embedding", size: int = 128, probes: int = PROBES) -> DataFrame:
-    """id, other, similarity, rank: for every usable vector about its k most similar others, ties to the smaller id.
-
-    Only similarities of at least ``min_similarity`` are returned, and a
-    search that meets nothing near them gives up early. Repeated rows of one id count once; null, short, non-finite and zero vectors are left out; fewer than two give no rows.
-    """
-    unit = cut(unit_vectors(rows, id, vector, size))
-    # copies of a direction: only the smallest id is indexed, the others come back at the end
-    keyed = unit.select("id", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
-    copies = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    n_copies, total = copies.count(), unit.count()
-    members = keyed.join(F.broadcast(copies) if small_enough(n_copies, 40) else copies, ["k1", "k2"]).select("id", "rep").distinct()
-    members = cut(members) if n_copies else None
-    release(copies)
-    # a repeated row of one id is a copy of itself: the id stays once
-    extra = members.where("id != rep").select("id") if n_copies else None
-    n_extra = extra.count() if n_copies else 0
-    indexed = unit
-    if n_copies:
-        indexed = unit.join(F.broadcast(extra) if small_enough(n_extra, 24) else extra, "id", "left_anti")
-    cells = int(min(MAX_CELLS, max(1, -(-(total - n_extra) // CELL_ROWS))))  # of the vectors indexed, as the centroids are
-    c, sizes = _cells(indexed, cells, size, probes, total - n_extra)
-    routed = _route(indexed, c, size, probes)
+def _placed(vectors: DataFrame, size: int, probes: int, total: int, rounded: bool = False) -> DataFrame:
+    """id, v, cell, shard, part, indexed, asks: each vector in all the tasks (cell, shard, part) that it lives in or asks."""
+    c, sizes = _cells(vectors, size, probes, total)
+    routed = _route(vectors, c, size, probes, rounded)
     # a cell that is still too large for one task is split by a hash into shards, all of which its queries ask in parts
     split = [(cell, -(-n // SHARD_ROWS), max(-(-n // SHARD_ROWS), -(-asking // ASKING_ROWS))) for cell, (n, asking) in sizes.items() if n > SHARD_ROWS or asking > ASKING_ROWS]
     if split:
-        splits = rows.sparkSession.createDataFrame(split, "cell int, shards int, parts int")
+        splits = vectors.sparkSession.createDataFrame(split, "cell int, shards int, parts int")
         routed = routed.join(F.broadcast(splits), "cell", "left").withColumns({"shards": F.coalesce("shards", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})  # at most MAX_CELLS rows
         routed = routed.withColumns({"own": F.pmod(F.xxhash64("id"), F.col("shards")), "asks": F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts"))})
         routed = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -385,7 +386,12 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
 
     # each group is a task's worth of work whatever its bytes, so the tasks are not merged
     groups = len(sizes) + sum(shards * parts for _, shards, parts in split)
-    routed = routed.repartition(max(4 * groups, rows.sparkSession.sparkContext.defaultParallelism), "cell", "shard", "part")
+    return routed.repartition(max(4 * groups, vectors.sparkSession.sparkContext.defaultParallelism), "cell", "shard", "part")
+
+
+def _walked(vectors: DataFrame, k: int, min_similarity: float, size: int, probes: int, total: int) -> DataFrame:
+    """id, other, similarity, rank by small-world graphs, of vectors among which no copies are."""
+    routed = _placed(vectors, size, probes, total)
 
     def shard(table: pa.Table) -> pa.Table:
         ids, x, base = table["id"].to_numpy(), _matrix(table["v"], size), table["indexed"].to_numpy()
@@ -414,10 +420,143 @@ def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str
     met = met.where(F.col("similarity") >= min_similarity)
     met = met.select(F.explode(F.array(F.struct("id", "other", "similarity"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))).alias("m")).select("m.*")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    top = met.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return met.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that links (a, b) join it to."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[a], least[b])
+        now = least.copy()
+        for at in (a, b, least[a], least[b]):
+            np.minimum.at(now, at, m)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def _links(table: pa.Table, min_similarity: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest ids of their stars) of the vectors of one task that may be as similar to another as ``min_similarity``."""
+    ids, node = np.unique(table["id"].to_numpy(), return_inverse=True)
+    home = np.flatnonzero(table["indexed"].to_numpy())
+    home = home[np.unique(node[home], return_index=True)[1]]
+    asking = np.flatnonzero(table["asks"].to_numpy())
+    if not len(home) or not len(asking):
+        return ids[:0], ids[:0]
+    q = np.concatenate([np.frombuffer(c.buffers()[2], dtype=np.int8, count=len(c) * size, offset=int(np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset])).reshape(-1, size) for c in table["v"].chunks if len(c)])
+
+    def unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The directions, and how far rounding has moved them at most."""
+        x = q[rows].astype(np.float32)
+        norm = np.linalg.norm(x, axis=1)
+        return x / norm[:, None], 0.5 * math.sqrt(size) / norm + 5e-4
+
+    x, off = unit(home)
+    x = np.ascontiguousarray(np.hstack([x, off[:, None]]).T, dtype=np.float32)
+    a, b, held = [], [], 0
+    for at in range(0, len(asking), 512):
+        part = asking[at : at + 512]
+        y, moved = unit(part)
+        s = np.hstack([y, np.ones((len(y), 1), dtype=np.float32)]) @ x
+        met = np.flatnonzero((s >= (min_similarity - moved).astype(np.float32)[:, None]).ravel())
+        r, c = np.divmod(met, len(home))
+        one, two = node[part[r]], node[home[c]]
+        apart = one != two
+        a.append(one[apart]), b.append(two[apart])
+        held += int(apart.sum())
+        if held > LINKS:
+            star = _stars(len(ids), np.concatenate(a), np.concatenate(b))
+            a, b, held = [np.flatnonzero(star != np.arange(len(ids)))], [star[star != np.arange(len(ids))]], 0
+    star = _stars(len(ids), np.concatenate(a), np.concatenate(b))
+    linked = star != np.arange(len(ids))
+    return ids[linked], ids[star[linked]]
+
+
+def _best_of_groups(table: pa.Table, k: int, min_similarity: float, size: int) -> pa.Table:
+    """id, other, similarity, rank within each group of the table, all of a group being compared."""
+    ids, label = table["id"].to_numpy(), table["label"].to_numpy()
+    order = np.lexsort((ids, label))
+    order = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order  # a repeated row of an id is kept once
+    ids, label, x = ids[order], label[order], _matrix(table["v"], size)[order]
+    first = np.r_[np.flatnonzero(np.r_[True, label[1:] != label[:-1]]), len(label)]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start, end in zip(first[:-1], first[1:], strict=True):
+        own = x[start:end]
+        m = min(k + SPARE, len(own) - 1)
+        for at in range(0, len(own) if m else 0, 512):
+            s = own[at : at + 512] @ own.T
+            s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
+            near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            r, c = np.nonzero(np.take_along_axis(s, near, axis=1) >= min_similarity - 1e-4)
+            a.append(r + at + start), b.append(near[r, c] + start)
+    a, b = np.concatenate(a), np.concatenate(b)
+    sims = [np.empty(0)]
+    for at in range(0, len(a), 16_384):
+        u, v = x[a[at : at + 16_384]].astype(np.float64), x[b[at : at + 16_384]].astype(np.float64)
+        sims.append((u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1)))
+    sims = np.concatenate(sims)
+    fine = np.flatnonzero(sims >= min_similarity)
+    fine = fine[np.lexsort((ids[b[fine]], -sims[fine], a[fine]))]
+    a, b, sims = a[fine], b[fine], sims[fine]
+    begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)])) + 1
+    kept = rank <= k
+    return pa.table({"id": ids[a[kept]], "other": ids[b[kept]], "similarity": sims[kept], "rank": rank[kept].astype(np.int32)})
+
+
+def _grouped(vectors: DataFrame, k: int, min_similarity: float, size: int, probes: int, total: int) -> DataFrame:
+    """id, other, similarity, rank by groups of linked vectors, of vectors among which no copies are."""
+    routed = _placed(vectors, size, probes, total, True)
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, least = _links(table, min_similarity, size)
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(least, pa.int64())})
+
+    links = routed.groupBy("cell", "shard", "part").applyInArrow(link, "a long, b long")
+    labels = cut(min_labels(links).select(F.col("node").alias("id"), "label"))
+    large = cut(labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS))
+    n_large, n = large.count(), labels.count()
+    sent = F.broadcast(labels) if small_enough(n, 32) else labels
+    held = vectors.join(sent, "id")
+    whole = held.join(F.broadcast(large), "label", "left_anti") if n_large else held  # at most one in GROUP_ROWS
+    tasks = max(4 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    whole = whole.select("id", "label", "v", F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task")).repartition(tasks, "task")
+    top = whole.groupBy("task").applyInArrow(lambda table: _best_of_groups(table, k, min_similarity, size), "id long, other long, similarity double, rank int")
+    if not n_large:
+        return top
+    rest = cut(held.join(F.broadcast(large), "label", "left_semi").select("id", "v"))
+    return top.unionByName(_walked(rest, k, min_similarity, size, PROBES, rest.count()))
+
+
+def nearest(rows: DataFrame, k: int = 10, min_similarity: float = -1.0, id: str = "id", vector: str = "embedding", size: int = 128, probes: int | None = None) -> DataFrame:
+    """id, other, similarity, rank: for every usable vector about its k most similar others, ties to the smaller id.
+
+    Only similarities of at least ``min_similarity`` are returned, and a graph's
+    search that meets nothing near them gives up early. ``probes`` is the number of other cells a vector asks. Repeated rows of one id count once; null, short, non-finite and zero vectors are left out; fewer than two give no rows.
+    """
+    unit = cut(unit_vectors(rows, id, vector, size))
+    # copies of a direction: only the smallest id is indexed, the others come back at the end
+    keyed = unit.select("id", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
+    copies = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    n_copies, total = copies.count(), unit.count()
+    members = keyed.join(F.broadcast(copies) if small_enough(n_copies, 40) else copies, ["k1", "k2"]).select("id", "rep").distinct()
+    members = cut(members) if n_copies else None
+    release(copies)
+    # a repeated row of one id is a copy of itself: the id stays once
+    extra = members.where("id != rep").select("id") if n_copies else None
+    n_extra = extra.count() if n_copies else 0
+    indexed = unit
+    if n_copies:
+        indexed = unit.join(F.broadcast(extra) if small_enough(n_extra, 24) else extra, "id", "left_anti")
+    if min_similarity >= GROUPED_FROM:
+        top = _grouped(indexed, k, min_similarity, size, ASKED if probes is None else probes, total - n_extra)
+    else:
+        top = _walked(indexed, k, min_similarity, size, PROBES if probes is None else probes, total - n_extra)
     if not n_copies:
         return top
-    return _with_copies(cut(top.drop("rank")), members, k, best)
+    return _with_copies(cut(top.drop("rank")), members, k, Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
 
 
 def _with_copies(top: DataFrame, members: DataFrame, k: int, best: Window) -> DataFrame:

@@ -105,3 +105,24 @@ def test_a_vector_on_a_third_of_rows_meets_its_neighbours_over_many_cells(spark,
     order = rng.permutation(len(x))
     got = nearest(table(spark, [(int(i), x[i].tolist()) for i in order]), 10, 0.7).where("other < 750").select("id").distinct().collect()
     assert len({r["id"] for r in got} & set(range(750, 850))) >= 95
+
+
+def test_pairs_that_meet_in_no_cell_are_found_through_others(spark, monkeypatch):
+    # cells that no face has shaped, as if each held thousands of people; faces of one person are at about 0.77
+    c = np.random.default_rng(12).normal(size=(200, 128)).astype(np.float32)
+    monkeypatch.setattr(vectors, "centroids", lambda *_: c / np.linalg.norm(c, axis=1)[:, None])
+    x = people(600, 128, 9, 0.55)
+    got = {tuple(r) for r in similar_pairs(table(spark, enumerate(x.tolist())), 10, 0.7).collect()}
+    want = brute(range(600), x, 10, 0.7)
+    assert len(got & want) >= 0.97 * len(want)
+    assert len(got - want) <= 0.01 * len(want)
+
+
+def test_groups_too_large_to_be_compared_whole_are_searched_by_graphs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 30)
+    rng = np.random.default_rng(10)
+    x = np.vstack([people(300, 128, 11), np.eye(128)[0] + 0.03 * rng.normal(size=(200, 128))]).astype(np.float32)
+    got = {tuple(r) for r in similar_pairs(table(spark, enumerate(x.tolist())), 10, 0.7).collect()}
+    want = brute(range(500), x, 10, 0.7)
+    assert len(got & want) >= 0.98 * len(want)
+    assert len(got - want) <= 0.02 * len(want)
