@@ -426,12 +426,12 @@ def fingerprint_shortlist(spark: SparkSession, root: str) -> DataFrame:
 @query("""WITH w AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT word, ln((SELECT n FROM n) / count(*)) AS idf FROM w GROUP BY word),
 s AS (SELECT id, count(*) AS words FROM w GROUP BY id),
-m AS (SELECT q.id AS query, w.id, sum(r.idf) AS total FROM w q JOIN r ON r.word = q.word AND r.idf > 0 JOIN w ON w.word = q.word WHERE q.id % 100 = 0 AND w.id <> q.id GROUP BY 1, 2),
+m AS (SELECT q.id AS query, w.id, sum(r.idf) AS total FROM w q JOIN r ON r.word = q.word AND r.idf > 0 JOIN w ON w.word = q.word WHERE w.id <> q.id GROUP BY 1, 2),
 k AS (SELECT m.query, m.id, round(m.total / sqrt(s.words), 6) AS score FROM m JOIN s ON s.id = m.id)
 SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k) WHERE rank <= 150""")
 def word_shortlist(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "documents")
-    return similarity.word_overlap(d, d.where(F.col("doc_id") % 100 == 0).select("doc_id"))
+    return similarity.word_overlap(d, d.select("doc_id"))
 
 
 # ---- statistics and reports -------------------------------------------------------------------------------
